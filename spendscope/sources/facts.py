@@ -1,0 +1,33 @@
+"""Reading and writing the fact tables, and writing reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spendscope.sources.schemas import FACT_SCHEMAS, conform
+
+
+def read_facts(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """Read a fact table stored as parquet, with its fixed schema: no inference
+    job, and only the columns an operator uses are read."""
+    return spark.read.schema(FACT_SCHEMAS[table]).parquet(path)
+
+
+def write_facts(df: DataFrame, table: str, path: str, mode: str = "error") -> None:
+    """Store a fact table partitioned by day, the layout every date window prunes.
+
+    The rebalance hint groups rows by day before the write, and adaptive execution
+    splits a day that holds far more rows than the others over several tasks.
+    """
+    (
+        conform(df, FACT_SCHEMAS[table])
+        .hint("rebalance", "date")
+        .write.mode(mode)
+        .partitionBy("date")
+        .parquet(path)
+    )
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
+    """Store a packed report or a section as files."""
+    report.write.mode(mode).format(fmt).save(path)
