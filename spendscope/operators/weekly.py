@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
@@ -89,7 +89,8 @@ def regional_summary(segments: DataFrame) -> DataFrame:
 
 def regional_overview(segments: DataFrame) -> DataFrame:
     """One row per requested country, cheapest CPA ranked first, by spend."""
-    ranked = _ranked(regional_summary(segments), F.col("country_cpa").asc_nulls_first())
+    by_cpa = Window.orderBy(F.asc_nulls_first("country_cpa"))
+    ranked = regional_summary(segments).withColumn("efficiency_rank", F.rank().over(by_cpa))
     order = [F.desc("country_spend"), F.asc_nulls_first("country")]
     return numbered(ranked, order).select(
         "position",
@@ -102,12 +103,6 @@ def regional_overview(segments: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(countries: DataFrame, order: Column) -> DataFrame:
-    from pyspark.sql import Window
-
-    return countries.withColumn("efficiency_rank", F.rank().over(Window.orderBy(order)))
-
-
 def top_issues(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """Segments well over target, those with the most spend first."""
     cpa, target = F.col("blended_cpa"), F.col("target_cpa")

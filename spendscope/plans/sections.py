@@ -39,10 +39,9 @@ def section(name: str, summary: Column) -> list[Column]:
     return [F.lit(name).alias("section"), summary.alias("summary_data")]
 
 
-def ordered_items(rows: DataFrame, position: str, names: Mapping[str, str] | None = None) -> Column:
+def ordered_items(rows: DataFrame, position: str, columns: Sequence[str] | None = None) -> Column:
     """Aggregate: the rows as an array of structs by ``position``; NULL for no rows."""
-    names = names or {c: c for c in rows.columns if c != position}
-    item = F.struct(*[F.col(c).alias(alias) for c, alias in names.items()])
+    item = F.struct(*(columns or [c for c in rows.columns if c != position]))
     items = F.sort_array(F.collect_list(F.struct(F.col(position), item.alias("item"))))
     return F.when(F.size(items) > 0, F.transform(items, lambda x: x["item"]))
 
@@ -66,7 +65,7 @@ def pack_unbounded(
     array: str,
     rows: DataFrame,
     order: Sequence[Column],
-    columns: Mapping[str, str],
+    columns: Sequence[str],
     items_per_row: int = ITEMS_PER_ROW,
 ) -> DataFrame:
     """A section that may hold any number of items.
