@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import materialize
-from spendscope.plans.ranking import top_k
+from spendscope.plans.ranking import ascending, top_k
 from spendscope.settings import (
     DEFAULT_COUNTRIES,
     REPORT_PLATFORMS,
@@ -185,8 +185,8 @@ def significant_campaigns(
     signals = _campaign_signals(sensitivity, settings)
     kind = _first_signal(signals, "NONE")
     order = [_impact("excess_cost", "cpa_change_pct", "spend_current").desc()]
-    order += [F.asc_nulls_first(c) for c in ("campaign_id", "platform", "country",
-              "campaign_objective", "campaign", "spend_comparison", "conversions_comparison")]
+    order += ascending(*_JOIN_KEYS, "campaign_objective", "campaign", "spend_comparison",
+                       "conversions_comparison")
     found = features.where(F.col("confidence_level") != "INSUFFICIENT").where(kind != "NONE")
     return top_k(found, order, settings.campaign_anomalies)
 
@@ -232,8 +232,7 @@ def significant_regions(
     ).where(signal)
     order = [
         _impact("total_excess_cost", "regional_cpa_change", "total_spend_current").desc(),
-        F.asc_nulls_first("platform"),
-        F.asc_nulls_first("country"),
+        *ascending("platform", "country"),
     ]
     return top_k(found, order, settings.regional_anomalies)
 

@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import materialize
-from spendscope.plans.ranking import top_k
+from spendscope.plans.ranking import ascending, top_k
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
 _KEYS = ["campaign_id", "campaign", "platform", "country"]
 _METRICS = ["spend", "conversions", "clicks", "impressions"]
-_TIE_BREAK = [F.asc_nulls_first(c) for c in _KEYS]
 
 
 def matches(
@@ -193,7 +192,7 @@ def top_performers(performance: DataFrame, settings: Settings = SETTINGS) -> Dat
     good = performance.where(F.col("performance_rating").isin("EXCELLENT", "GOOD")).where(
         F.col("spend_current") >= settings.top_performer_min_spend
     )
-    return top_k(good, [F.desc("spend_current"), *_TIE_BREAK], settings.top_performers).select(
+    return top_k(good, [F.desc("spend_current"), *ascending(*_KEYS)], settings.top_performers).select(
         "position",
         text.shortened(F.col("campaign"), 80).alias("campaign_name"),
         "platform",
@@ -293,7 +292,7 @@ def report(
             "PROBLEM_CAMPAIGNS",
             "campaigns_needing_attention",
             problems(matched, settings),
-            [F.desc("spend_current"), *_TIE_BREAK],
+            [F.desc("spend_current"), *ascending(*_KEYS)],
             problem_columns,
         ),
         sections.pack("TOP_PERFORMERS", "excellent_campaigns", top_performers(matched, settings)),

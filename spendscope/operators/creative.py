@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import materialize
-from spendscope.plans.ranking import numbered, top_k
+from spendscope.plans.ranking import ascending, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
@@ -97,7 +97,7 @@ def top_ads(ads: DataFrame, sort_by: str = "cpa", settings: Settings = SETTINGS)
         "spend": F.desc_nulls_first("total_spend"),
         "conversions": F.desc_nulls_first("total_conversions"),
     }[params.choice(sort_by, SORT_KEYS, "sort_by")]
-    ties = [F.asc_nulls_first(c) for c in ("ad_id", "ad_name", "country")]
+    ties = ascending("ad_id", "ad_name", "country")
     return top_k(ads, [order, *ties], settings.top_ads, "rank").select(
         text.shortened(F.col("ad_name"), 120).alias("ad_name"),
         F.col("creative_concept").alias("concept"),

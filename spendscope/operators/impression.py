@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import materialize
-from spendscope.plans.ranking import global_rank, numbered, top_k
+from spendscope.plans.ranking import ascending, global_rank, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
 ANALYSIS_TYPES = ("overview", "budget_opportunities", "rank_opportunities", "regional_comparison")
 _KEYS = ["region", "campaign", "campaign_type", "campaign_category", "funnel_stage",
          "is_brand_campaign"]
-_TIE_BREAK = [F.asc_nulls_first(c) for c in _KEYS]
 
 # result name -> fact column, for the plain sums
 _SUMS = {
@@ -167,7 +166,7 @@ def ranked(
     """Every campaign the analysis keeps, with its rank. Reports only need the first
     few and take ``limited``, which sorts no more than those."""
     keep, order, _ = _selection(analysis_type, min_spend_threshold, settings)
-    return global_rank(campaigns.where(keep), [order, *_TIE_BREAK], "analysis_rank")
+    return global_rank(campaigns.where(keep), [order, *ascending(*_KEYS)], "analysis_rank")
 
 
 def limited(
@@ -177,7 +176,7 @@ def limited(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     keep, order, count = _selection(analysis_type, min_spend_threshold, settings)
-    return top_k(campaigns.where(keep), [order, *_TIE_BREAK], count, "analysis_rank")
+    return top_k(campaigns.where(keep), [order, *ascending(*_KEYS)], count, "analysis_rank")
 
 
 def _high_opportunity(settings: Settings) -> Column:

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import materialize
-from spendscope.plans.ranking import numbered, top_k
+from spendscope.plans.ranking import ascending, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, REPORT_PLATFORMS, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
 _COLUMNS = ["date", "platform", "country", "campaign_objective", "campaign_id", "spend", "conversions"]
-_SEGMENT = [F.asc_nulls_first("platform"), F.asc_nulls_first("country"),
-            F.asc_nulls_first("campaign_objective")]
+_SEGMENT = ["platform", "country", "campaign_objective"]
 
 
 def base(
@@ -35,7 +34,7 @@ def base(
         .where(text.in_list(F.col("platform"), params.platforms(platforms)))
         .where(text.in_list(F.col("country"), params.names(countries, "countries")))
         .where(F.col("spend") > 0)
-        .groupBy("platform", "country", "campaign_objective")
+        .groupBy(*_SEGMENT)
         .agg(
             F.sum("spend").alias("total_spend"),
             F.sum("conversions").alias("total_conversions"),
@@ -109,7 +108,7 @@ def top_issues(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     issues = segments.withColumn("target_cpa", kpi.target_cpa(F.col("platform"), settings)).where(
         cpa > target * settings.over_target
     )
-    return top_k(issues, [F.desc("total_spend"), *_SEGMENT], settings.weekly_top).select(
+    return top_k(issues, [F.desc("total_spend"), *ascending(*_SEGMENT)], settings.weekly_top).select(
         "position",
         F.concat(F.col("platform"), F.lit(" - "), F.col("country")).alias("description"),
         kpi.rounded(cpa, 2).alias("current_cpa"),
@@ -128,7 +127,7 @@ def scale_opportunities(segments: DataFrame, settings: Settings = SETTINGS) -> D
         .where(cpa <= target * settings.under_target)
         .withColumn("additional_spend_potential", potential)
     )
-    order = [F.desc("additional_spend_potential"), *_SEGMENT]
+    order = [F.desc("additional_spend_potential"), *ascending(*_SEGMENT)]
     dash = F.lit(" - ")
     return top_k(chances, order, settings.weekly_top).select(
         "position",

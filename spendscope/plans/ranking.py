@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from spendscope.plans.materialize import materialize_strict
 
 
+def ascending(*columns: str) -> list[Column]:
+    """Tie-break order: the key columns, NULL first."""
+    return [F.asc_nulls_first(c) for c in columns]
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int, position: str = "position") -> DataFrame:
     """First ``k`` rows by ``order``, numbered. The sort keeps k rows per task; the
     window then sees at most k rows."""
