@@ -9,9 +9,13 @@ from typing import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The separator of creative names, and white space as one class that
-# means the same in Java and RE2 (ASCII spaces, Unicode separators, byte order mark).
+# The separator of creative names, and white space as a set of characters
+# and as a regular expression class (ASCII spaces, Unicode separators, byte order mark).
 NAME_SEPARATOR = " // "
+WHITE_SPACE_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 WHITE_SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
 
 UNKNOWN_CONCEPT = "Unknown_Concept"
@@ -19,7 +23,7 @@ UNKNOWN_CONCEPT = "Unknown_Concept"
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space, not only the space character."""
-    return F.regexp_replace(value, rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    return F.trim(value, F.lit(WHITE_SPACE_CHARACTERS))
 
 
 def contains_any(value: Column, terms: Sequence[str]) -> Column:

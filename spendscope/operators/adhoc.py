@@ -10,7 +10,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.functions import guard, kpi, periods
+from spendscope.functions import guard, kpi, periods, text
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import FACT_SCHEMAS
 
@@ -36,14 +36,14 @@ def governed_sql(
     its own; and it may not join two of the views. ``SAFE_DIVIDE(a, b)`` and
     ``WEEK_START(day)`` are there besides Spark's functions.
     """
-    text = query.strip().rstrip(";").rstrip()
+    select = query.strip().rstrip(";").rstrip()
     for name, view in sorted((aliases or {}).items(), key=lambda pair: -len(pair[0])):
-        text = text.replace(f"`{name}`", view).replace(name, view)
-    _check_text(text, settings)
+        select = select.replace(f"`{name}`", view).replace(name, view)
+    _check_text(select, settings)
     for statement in _FUNCTIONS:
         spark.sql(statement)
-    _check_relations(spark, spark.sql(f"EXPLAIN EXTENDED {text}").first()[0], tables)
-    return spark.sql(text).limit(max_rows)
+    _check_relations(spark, spark.sql(f"EXPLAIN EXTENDED {select}").first()[0], tables)
+    return spark.sql(select).limit(max_rows)
 
 
 # Two functions of ad-hoc queries that Spark has under other names.
@@ -56,14 +56,15 @@ _FUNCTIONS = (
 _ANALYZED = "== Analyzed Logical Plan =="
 
 
-def _check_text(text: str, settings: Settings) -> None:
-    if len(text) > settings.max_query_length:
+def _check_text(select: str, settings: Settings) -> None:
+    if len(select) > settings.max_query_length:
         raise QueryRefused(f"longer than {settings.max_query_length} characters")
-    if not re.match(r"(?is)\(*\s*(SELECT|WITH)\b", text):
+    if not re.match(r"(?is)\(*\s*(SELECT|WITH)\b", select):
         raise QueryRefused("only SELECT queries are allowed")
-    if re.search(rf"(?i)\b({guard.WRITE_VERBS}|MERGE|{guard.FILE_VERBS})\b", text):
+    forbidden = "|".join([*guard.WRITE_VERBS, "MERGE", *guard.FILE_VERBS])
+    if re.search(rf"(?i)\b({forbidden})\b", select):
         raise QueryRefused("write and file operations are not allowed")
-    if _ANALYZED in text:
+    if _ANALYZED in select:
         raise QueryRefused("the text looks like a plan")
 
 
@@ -90,9 +91,14 @@ def query_guard_audit(
 ) -> DataFrame:
     """Adds ``verdict`` and ``rule`` to a table of query texts: which ones the text
     rules let through, and the first rule that stops each other one."""
-    rule = guard.first_failed_rule(F.col(text_column), allowed_tables, settings)
-    return queries.withColumn("rule", rule).withColumn(
-        "verdict", F.when(F.col("rule") == guard.PASSED, "PASS").otherwise("REJECT")
+    # trimmed and lower-case text are columns of their own: the rules share them
+    query = guard.QueryText(F.col("_cleaned"), F.col("_lowered"))
+    return (
+        queries.withColumn("_cleaned", text.strip(F.col(text_column)))
+        .withColumn("_lowered", F.lower("_cleaned"))
+        .withColumn("rule", guard.first_failed_rule(query, allowed_tables, settings))
+        .withColumn("verdict", F.when(F.col("rule") == guard.PASSED, "PASS").otherwise("REJECT"))
+        .drop("_cleaned", "_lowered")
     )
 
 
