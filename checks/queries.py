@@ -66,8 +66,6 @@ def _shares(name: str, build, oracle: str, averages: tuple[str, ...] = ()) -> No
 _facts("weekly_base", lambda f: weekly.base(f, AS_OF), sql.weekly(sql.doubles("base", "total_spend")))
 _facts("weekly_base_30d", lambda f: weekly.base(f, AS_OF, "30d", ["Meta", "Bing"], ["US", "CA", "NZ"]),
        sql.weekly(sql.doubles("base", "total_spend"), 30, ("Meta", "Bing"), ("US", "CA", "NZ")))
-_facts("weekly_base_no_countries", lambda f: weekly.base(f, AS_OF, countries=[]),
-       sql.weekly(sql.doubles("base", "total_spend"), countries=()))
 _facts("weekly_platform_summary", lambda f: weekly.platform_summary(weekly.base(f, AS_OF)),
        sql.weekly(sql.doubles("platforms", "platform_spend")))
 _facts("weekly_platform_overview", lambda f: weekly.platform_overview(weekly.base(f, AS_OF)),
@@ -93,8 +91,6 @@ _PROBLEMS = "spend_current current_spend current_cpa comparison_cpa cpa_change_p
 
 _facts("campaign_matches", lambda f: campaign.matches(f, AS_OF, TERMS),
        sql.campaign("SELECT * FROM matches", TERMS))
-_facts("campaign_matches_no_terms", lambda f: campaign.matches(f, AS_OF, []),
-       sql.campaign("SELECT * FROM matches", ()))
 _facts("campaign_current_period", lambda f: campaign.current_period(f, AS_OF, TERMS),
        sql.campaign(sql.doubles("current_period", "spend_current"), TERMS))
 _facts("campaign_comparison_period", lambda f: campaign.comparison_period(f, AS_OF, TERMS),

@@ -5,10 +5,11 @@ appearance that matches is a row of the result and carries the totals of the who
 id, so an id with m matches counts m times in sums over the rows; in the comparison
 period the sums themselves are m times the id's totals. Ratios are unaffected.
 
-The facts are aggregated once to one row per appearance, with current and comparison
-sums side by side. Totals per id are then a window over those few rows: the facts are
-never joined with the matches, and the window shares its partitioning by campaign id
-with everything after it.
+The matches are found first and written once. When they are few, which the operators
+check, their ids are broadcast: the facts of all other campaigns are dropped in the
+scan task and nothing but the matched totals is shuffled. When they are many, the
+facts are aggregated to one row per appearance and the totals per id are a window over
+those rows. Either way facts and matches are never joined row by row.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from __future__ import annotations
 from datetime import date
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import at_most, materialize
 from spendscope.plans.ranking import ascending, top_k
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
+# most campaign ids that are sent to every task: a few MB of short strings
+BROADCAST_IDS = 50_000
+
 _KEYS = ["campaign_id", "campaign", "platform", "country"]
 _METRICS = ["spend", "conversions", "clicks", "impressions"]
 
@@ -53,30 +57,59 @@ def _matched_totals(
     facts: DataFrame, as_of: date, campaign_names: Sequence[str], comparison_period: str
 ) -> DataFrame:
     """Matching appearances with both periods' totals of their campaign id."""
-    current_days, total_days = periods.period_days(comparison_period)
-    terms = params.names(campaign_names, "campaign_names")
+    require_columns(facts, ["date", *_KEYS, *_METRICS])
+    found = materialize(matches(facts, as_of, campaign_names, comparison_period))
+    ids = found.select("campaign_id").where("campaign_id IS NOT NULL").distinct()
+    if at_most(ids, BROADCAST_IDS):
+        return _totals_of_few(facts, as_of, found, ids, comparison_period)
+    return _totals_of_many(facts, as_of, campaign_names, comparison_period)
+
+
+def _period_sums(as_of: date, comparison_period: str) -> dict[str, Column]:
+    current_days, _ = periods.period_days(comparison_period)
     in_current = periods.current(as_of, current_days)
-    appearances = (
-        require_columns(facts, ["date", *_KEYS, *_METRICS])
-        .where(periods.current(as_of, total_days) & F.col("campaign_id").isNotNull())
-        .groupBy(*_KEYS)
-        .agg(
-            kpi.count_if(F.col("spend") > 0).alias("spending_rows"),
-            kpi.count_if(in_current).alias("current_rows"),
-            kpi.count_if(~in_current).alias("comparison_rows"),
-            *[F.sum(F.when(in_current, F.col(m))).alias(f"{m}_current") for m in _METRICS],
-            *[F.sum(F.when(~in_current, F.col(m))).alias(f"{m}_comparison") for m in _METRICS],
-        )
+    conditions = {"current": in_current, "comparison": ~in_current}
+    return {
+        **{f"{p}_rows": kpi.count_if(inside) for p, inside in conditions.items()},
+        **{
+            f"{m}_{p}": F.sum(F.when(inside, F.col(m)))
+            for p, inside in conditions.items()
+            for m in _METRICS
+        },
+    }
+
+
+def _totals_of_few(
+    facts: DataFrame, as_of: date, found: DataFrame, ids: DataFrame, comparison_period: str
+) -> DataFrame:
+    _, total_days = periods.period_days(comparison_period)
+    sums = _period_sums(as_of, comparison_period)
+    totals = (
+        facts.where(periods.current(as_of, total_days))
+        .join(F.broadcast(ids), "campaign_id")
+        .groupBy("campaign_id")
+        .agg(*[total.alias(name) for name, total in sums.items()])
     )
+    return found.join(F.broadcast(totals), "campaign_id")
+
+
+def _totals_of_many(
+    facts: DataFrame, as_of: date, campaign_names: Sequence[str], comparison_period: str
+) -> DataFrame:
+    _, total_days = periods.period_days(comparison_period)
+    sums = _period_sums(as_of, comparison_period)
     of_id = Window.partitionBy("campaign_id")
-    sums = ["current_rows", "comparison_rows"]
-    sums += [f"{m}_{period}" for period in ("current", "comparison") for m in _METRICS]
     return (
-        appearances.select(
-            *_KEYS, "spending_rows", *[F.sum(c).over(of_id).alias(c) for c in sums]
+        facts.where(periods.current(as_of, total_days) & F.col("campaign_id").isNotNull())
+        .groupBy(*_KEYS)
+        .agg(
+            kpi.count_if(F.col("spend") > 0).alias("spending_rows"),
+            *[total.alias(name) for name, total in sums.items()],
         )
+        .select(*_KEYS, "spending_rows", *[F.sum(c).over(of_id).alias(c) for c in sums])
         .where(F.col("spending_rows") > 0)
-        .where(text.contains_any(F.col("campaign"), terms))
+        .where(text.contains_any(F.col("campaign"), params.names(campaign_names, "campaign_names")))
+        .drop("spending_rows")
     )
 
 
@@ -221,16 +254,23 @@ def creatives(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     """Cheapest Meta creatives of the matched campaigns; spend and conversions count
-    once per match of their campaign. The facts are aggregated before the join."""
+    once per match of their campaign. Few campaigns are broadcast, so that only their
+    ads are shuffled; for many, the ads are aggregated before the join."""
     current_days, _ = periods.period_days(comparison_period)
     spend, conversions = F.col("creative_spend"), F.col("creative_conversions")
-    ads = (
+    counts = materialize(counts)
+    rows = (
         require_columns(facts, ["date", "platform", "campaign_id", "ad_name", "spend", "conversions"])
         .where(periods.current(as_of, current_days))
         .where((F.col("platform") == "Meta") & F.col("ad_name").isNotNull())
-        .groupBy("campaign_id", "ad_name")
+    )
+    few = at_most(counts, BROADCAST_IDS)
+    if few:
+        rows = rows.join(F.broadcast(counts.select("campaign_id")), "campaign_id")
+    ads = (
+        rows.groupBy("campaign_id", "ad_name")
         .agg(F.sum("spend").alias("spend"), F.sum("conversions").alias("conversions"))
-        .join(counts, "campaign_id")
+        .join(F.broadcast(counts) if few else counts, "campaign_id")
         .select(
             "ad_name",
             "campaign_id",
@@ -261,7 +301,8 @@ def report(
     include_creatives: bool = False,
     settings: Settings = SETTINGS,
 ) -> DataFrame:
-    """The packed report: one scan for the matches, one more for their creatives."""
+    """The packed report: one scan to find the matches, one for their totals and, if
+    asked for, one for their creatives."""
     matched = materialize(performance(facts, as_of, campaign_names, comparison_period, settings))
     current_days, _ = periods.period_days(comparison_period)
     names = {c: c for c in ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")}

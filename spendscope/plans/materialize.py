@@ -35,6 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint() if checkpoint_dir_ready(df.sparkSession) else df
 
 
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows. Ask it of a materialized frame."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def materialize_strict(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` where a second evaluation might differ from the first."""
     if not checkpoint_dir_ready(df.sparkSession):

@@ -8,6 +8,7 @@ from typing import Any, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendscope.plans.materialize import at_most
 from spendscope.plans.ranking import global_rank, numbered
 
 _WITH_NULLS = {"ignoreNullFields": "false"}
@@ -74,7 +75,7 @@ def pack_unbounded(
     that no single task could hold the array, so the items come as several rows of
     the same section, numbered by ``part``, with nothing left out.
     """
-    few = rows.limit(items_per_row + 1).count() <= items_per_row
+    few = at_most(rows, items_per_row)
     ranked = numbered(rows, order, "rank") if few else global_rank(rows, order, "rank")
     items = {array: ordered_items(ranked, "rank", columns)}
     if few:

@@ -39,6 +39,12 @@ def test_weekly_campaigns_count_once_per_segment(facts):
     assert rows_of(weekly.platform_summary(weekly.base(df, AS_OF)), "platform", "total_campaigns") == [("Meta", 2)]
 
 
+def test_empty_lists_match_nothing(facts):
+    df = facts([dict(spend=600)])
+    assert weekly.base(df, AS_OF, countries=[]).count() == 0
+    assert weekly.base(df, AS_OF, platforms=[]).count() == 0
+
+
 def test_weekly_rank_shares_ties_and_skips(facts):
     df = facts([dict(country=c, spend=s, conversions=10) for c, s in (("US", 600), ("AU", 600), ("UK", 700))])
     out = weekly.regional_overview(weekly.base(df, AS_OF))
@@ -88,7 +94,9 @@ def test_parameters_are_checked(facts):
 # ---------------------------------------------------------------- campaign
 
 
-def test_campaign_fan_out(facts):
+@pytest.mark.parametrize("broadcast_ids", [50_000, 0])
+def test_campaign_fan_out(facts, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(campaign, "BROADCAST_IDS", broadcast_ids)
     df = facts([dict(country=c, spend=10, conversions=1) for c in ("US", "AU")]
                + [dict(country=c, spend=30, conversions=2, date=day(9)) for c in ("US", "AU")])
     perf = campaign.performance(df, AS_OF, ["grow"])
@@ -99,7 +107,9 @@ def test_campaign_fan_out(facts):
     assert rows_of(campaign.comparison_period(df, AS_OF, ["grow"]), "spend_comparison") == [(120.0,)]
 
 
-def test_campaign_totals_include_rows_that_do_not_match(facts):
+@pytest.mark.parametrize("broadcast_ids", [50_000, 0])
+def test_campaign_totals_include_rows_that_do_not_match(facts, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(campaign, "BROADCAST_IDS", broadcast_ids)
     df = facts([
         dict(spend=10), dict(campaign="Other name", spend=5), dict(spend=0, clicks=950),
         dict(campaign_id=None, spend=99), dict(campaign_id="c2", date=day(10)),
@@ -110,7 +120,9 @@ def test_campaign_totals_include_rows_that_do_not_match(facts):
     assert rows_of(out, "campaign_id", "spend_current", "ctr_current") == [("c1", 15.0, 35.0)]
 
 
-def test_campaign_that_only_has_rows_without_spend_does_not_match(facts):
+@pytest.mark.parametrize("broadcast_ids", [50_000, 0])
+def test_campaign_that_only_has_rows_without_spend_does_not_match(facts, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(campaign, "BROADCAST_IDS", broadcast_ids)
     df = facts([dict(spend=0), dict(campaign="Other", spend=10)])
     assert campaign.performance(df, AS_OF, ["grow"]).count() == 0
     assert campaign.performance(df, AS_OF, []).count() == 0
@@ -134,7 +146,9 @@ def brute_force_campaign(rows, terms, current, total):
     return out
 
 
-def test_campaign_against_brute_force(facts):
+@pytest.mark.parametrize("broadcast_ids", [50_000, 0])
+def test_campaign_against_brute_force(facts, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(campaign, "BROADCAST_IDS", broadcast_ids)
     rows = [
         dict(date=day(n % 16), campaign_id=f"c{n % 4}", campaign=("Grow", "Earn", "grow 2")[n % 3],
              platform=("Meta", "Google")[n % 2], country=("US", "AU", "UK")[n // 7 % 3], spend=n % 5,
@@ -165,7 +179,9 @@ def test_campaign_problems_and_performers(facts):
     assert rows_of(campaign.top_performers(perf), "spend") == [(200.0,)]
 
 
-def test_campaign_creatives_count_once_per_match(facts):
+@pytest.mark.parametrize("broadcast_ids", [50_000, 0])
+def test_campaign_creatives_count_once_per_match(facts, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(campaign, "BROADCAST_IDS", broadcast_ids)
     ads = [dict(country=c, ad_name=a, spend=30, conversions=1)
            for c in ("US", "AU") for a in ("Idea // v1", "Other", None)]
     df = facts(ads + [dict(platform="Google", ad_name="Idea // v1", spend=1000, conversions=9)])
