@@ -60,16 +60,14 @@ def base(
     include_brand_campaigns: bool = True,
     min_spend_threshold: float = 500,
     settings: Settings = SETTINGS,
+    approximate_modes: bool = False,
 ) -> DataFrame:
     """Campaigns per region with weighted shares and their most frequent position and
     diagnosis (NULL counts as a value, the lowest value wins a tie).
 
-    Everything comes from one scan: the first aggregation also groups by the two
-    label columns, so it yields additive sums and the label counts at once, in the
-    hash aggregate. The label windows and the final aggregation then share one
-    partitioning by campaign, over rows that are already aggregated.
+    ``approximate_modes`` takes the frequent labels from a sketch, for labels with so
+    many values that counting each of them is not worth it.
     """
-    weight_columns = {w for _, w in _SHARES.values()}
     needed = ["date", *_KEYS, *_SUMS.values(), *_MEANS.values(), *_MODES.values()]
     needed += [p for p, _ in _SHARES.values()]
     rows = (
@@ -81,14 +79,46 @@ def base(
     )
     if not include_brand_campaigns:
         rows = rows.where(~F.coalesce(F.col("is_brand_campaign"), F.lit(False)))
+    sums = _with_sketched_modes(rows) if approximate_modes else _with_exact_modes(rows)
+    return (
+        sums.where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
+        .where(F.col("total_clicks") >= settings.min_clicks)
+        .select(
+            *_KEYS,
+            *_SUMS,
+            kpi.cpa(F.col("total_spend"), F.col("total_conversions")).alias("blended_cpa"),
+            *[
+                kpi.ratio(F.col(name), F.col(f"weight_{w}")).alias(name)
+                for name, (_, w) in _SHARES.items()
+            ],
+            *[
+                kpi.ratio(F.col(f"sum_{column}"), F.col(f"count_{column}")).alias(name)
+                for name, column in _MEANS.items()
+            ],
+            *_MODES,
+        )
+    )
+
+
+def _additive() -> dict[str, Column]:
+    """Everything that sums up from rows to labels to campaigns."""
+    weights = sorted({w for _, w in _SHARES.values()})
+    return {
+        **{name: F.sum(column) for name, column in _SUMS.items()},
+        **{name: F.sum(F.col(p) * F.col(w)) for name, (p, w) in _SHARES.items()},
+        **{f"weight_{w}": F.sum(w) for w in weights},
+        **{f"sum_{column}": F.sum(column) for column in _MEANS.values()},
+        **{f"count_{column}": F.count(column) for column in _MEANS.values()},
+    }
+
 
+def _with_exact_modes(rows: DataFrame) -> DataFrame:
+    """The first aggregation also groups by the two label columns, so one hash aggregate
+    yields additive sums and label counts at once. The label windows and the final
+    aggregation share one partitioning by campaign, over rows already aggregated."""
+    additive = _additive()
     by_label = rows.groupBy(*_KEYS, *_MODES.values()).agg(
-        F.count("*").alias("n"),
-        *[F.sum(column).alias(name) for name, column in _SUMS.items()],
-        *[F.sum(F.col(p) * F.col(w)).alias(name) for name, (p, w) in _SHARES.items()],
-        *[F.sum(w).alias(f"weight_{w}") for w in sorted(weight_columns)],
-        *[F.sum(column).alias(f"sum_{column}") for column in _MEANS.values()],
-        *[F.count(column).alias(f"count_{column}") for column in _MEANS.values()],
+        F.count("*").alias("n"), *[total.alias(name) for name, total in additive.items()]
     )
     with_label_counts = by_label.repartition(*_KEYS).withColumns(
         {
@@ -96,26 +126,19 @@ def base(
             for label in _MODES.values()
         }
     )
-    return (
-        with_label_counts.groupBy(*_KEYS)
-        .agg(
-            *[F.sum(name).alias(name) for name in _SUMS],
-            kpi.cpa(F.sum("total_spend"), F.sum("total_conversions")).alias("blended_cpa"),
-            *[
-                kpi.ratio(F.sum(name), F.sum(f"weight_{w}")).alias(name)
-                for name, (_, w) in _SHARES.items()
-            ],
-            *[
-                kpi.ratio(F.sum(f"sum_{column}"), F.sum(f"count_{column}")).alias(name)
-                for name, column in _MEANS.items()
-            ],
-            *[
-                F.min_by(label, F.struct(-F.col(f"n_{label}"), F.col(label))).alias(name)
-                for name, label in _MODES.items()
-            ],
-        )
-        .where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
-        .where(F.col("total_clicks") >= settings.min_clicks)
+    return with_label_counts.groupBy(*_KEYS).agg(
+        *[F.sum(name).alias(name) for name in additive],
+        *[
+            F.min_by(label, F.struct(-F.col(f"n_{label}"), F.col(label))).alias(name)
+            for name, label in _MODES.items()
+        ],
+    )
+
+
+def _with_sketched_modes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEYS).agg(
+        *[total.alias(name) for name, total in _additive().items()],
+        *[F.expr(f"approx_top_k({label}, 1)[0].item").alias(name) for name, label in _MODES.items()],
     )
 
 

@@ -14,6 +14,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def checkpoint_dir_ready(spark: SparkSession) -> bool:
@@ -23,8 +24,12 @@ def checkpoint_dir_ready(spark: SparkSession) -> bool:
         return True
     folder = spark.conf.get(_KEY, None)
     if not folder and context.master.startswith("local"):
-        # one machine: its own folder is shared by definition
-        folder = tempfile.mkdtemp(prefix="spendscope-checkpoint-")
+        # one machine: its own folder is shared by definition; gone when Python exits
+        global _local_folder
+        _local_folder = tempfile.TemporaryDirectory(
+            prefix="spendscope-checkpoint-", ignore_cleanup_errors=True
+        )
+        folder = _local_folder.name
     if folder:
         context.setCheckpointDir(folder)
     return bool(folder)

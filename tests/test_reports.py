@@ -383,6 +383,16 @@ def test_impression_modes_are_independent(shares):
     assert rows_of(impression.base(df, AS_OF), "primary_market_position", "primary_diagnosis") == [("a", "y")]
 
 
+def test_impression_sketched_modes_leave_everything_else_as_it_is(shares):
+    labels = ["a", "a", "b", None, None, None, None]
+    df = shares([dict(market_position=v, performance_diagnosis="x" if v else "y", date=day(n), spend=1000 + n)
+                 for n, v in enumerate(labels)])
+    exact, sketched = (impression.base(df, AS_OF, approximate_modes=a) for a in (False, True))
+    assert sketched.columns == exact.columns
+    assert rows_of(sketched) == rows_of(exact)
+    assert rows_of(sketched, "primary_market_position") == [(None,)]
+
+
 def test_impression_row_filters_and_brand(shares):
     df = shares([
         dict(is_brand_campaign=None), dict(is_brand_campaign=True, campaign="brand"),
