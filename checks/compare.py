@@ -51,9 +51,12 @@ def _sorted(rows, columns):
 
 def difference(spark, con, sf_dir: str, name: str) -> str | None:
     """None when columns, types and values are the same."""
-    frame = queries()[name](spark, sf_dir)
+    return frame_difference(queries()[name](spark, sf_dir), con, oracle_sql()[name])
+
+
+def frame_difference(frame, con, oracle: str) -> str | None:
     ours = frame.collect()
-    cursor = con.execute(oracle_sql()[name])
+    cursor = con.execute(oracle)
     columns = [d[0] for d in cursor.description]
     theirs = cursor.fetchall()
     if sorted(frame.columns) != sorted(columns):

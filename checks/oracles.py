@@ -517,7 +517,8 @@ def regional_insights(trends=True) -> str:
       'best_performing_country': (SELECT country FROM ranked ORDER BY {first('blended_cpa, country')} LIMIT 1),
       'highest_spend_country': (SELECT country FROM ranked ORDER BY total_spend DESC, country LIMIT 1),
       'most_improved': {improved},
-      'needs_attention': (SELECT list(country ORDER BY country) FROM ranked WHERE weak_segments >= 2),
+      'needs_attention': (SELECT list(country ORDER BY country) FROM ranked
+        WHERE weak_segments >= 2 AND country IS NOT NULL),
       'total_countries_analyzed': (SELECT COUNT(*) FROM ranked)}}"""})
 
 

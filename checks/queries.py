@@ -22,6 +22,7 @@ TERMS = ["grow_c", "50%"]
 ALLOWED_TABLES = ["warehouse.ads.blended_summary", "warehouse.ads.impression_share_report"]
 
 _QUERIES: dict[str, Query] = {}
+_BUILDS: dict[str, tuple] = {}
 _ORACLES: dict[str, str] = {}
 
 
@@ -33,6 +34,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+def builds() -> dict[str, tuple]:
+    """Per query: where its facts come from, and the query as a function of the facts."""
+    return dict(_BUILDS)
+
+
 def plain(df: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
     """Decimals as double, and means of doubles at 6 places, for comparison."""
 
@@ -48,6 +54,7 @@ def plain(df: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _register(name: str, source, build, oracle: str | None, averages: tuple[str, ...] = ()) -> None:
+    _BUILDS[name] = (source, lambda facts: plain(build(facts), averages))
     _QUERIES[name] = lambda spark, sf_dir: plain(build(source(spark, sf_dir)), averages)
     if oracle:
         _ORACLES[name] = oracle
@@ -445,7 +452,7 @@ _facts("adhoc_weekly_platform_spend",
          SELECT CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE) AS week, platform,
            CAST(SUM(spend) AS DOUBLE) AS weekly_spend
          FROM facts WHERE date >= DATE '2024-01-01' AND date <= DATE '2024-03-31'
-         GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20"""))
+         GROUP BY 1, 2 ORDER BY 1, 2 NULLS FIRST LIMIT 20"""))
 _facts("adhoc_platform_comparison", lambda f: adhoc.platform_comparison(f, AS_OF),
        sql.with_(sql.BLENDED, select=f"""
          SELECT platform, CAST({sql.rnd('AVG(cpa)', 6)} AS DOUBLE) AS avg_cpa,

@@ -59,8 +59,8 @@ def _matched_totals(
     """Matching appearances with both periods' totals of their campaign id."""
     require_columns(facts, ["date", *_KEYS, *_METRICS])
     found = materialize(matches(facts, as_of, campaign_names, comparison_period))
-    ids = found.select("campaign_id").where("campaign_id IS NOT NULL").distinct()
-    if at_most(ids, BROADCAST_IDS):
+    if at_most(found, BROADCAST_IDS):
+        ids = found.select("campaign_id").where("campaign_id IS NOT NULL").distinct()
         return _totals_of_few(facts, as_of, found, ids, comparison_period)
     return _totals_of_many(facts, as_of, campaign_names, comparison_period)
 
@@ -264,14 +264,14 @@ def creatives(
         .where(periods.current(as_of, current_days))
         .where((F.col("platform") == "Meta") & F.col("ad_name").isNotNull())
     )
-    few = at_most(counts, BROADCAST_IDS)
-    if few:
-        rows = rows.join(F.broadcast(counts.select("campaign_id")), "campaign_id")
+    sums = [F.sum(m).alias(m) for m in ("spend", "conversions")]
+    if at_most(counts, BROADCAST_IDS):
+        matched = rows.join(F.broadcast(counts), "campaign_id")
+        ads = matched.groupBy("campaign_id", "match_count", "ad_name").agg(*sums)
+    else:
+        ads = rows.groupBy("campaign_id", "ad_name").agg(*sums).join(counts, "campaign_id")
     ads = (
-        rows.groupBy("campaign_id", "ad_name")
-        .agg(F.sum("spend").alias("spend"), F.sum("conversions").alias("conversions"))
-        .join(F.broadcast(counts) if few else counts, "campaign_id")
-        .select(
+        ads.select(
             "ad_name",
             "campaign_id",
             (F.col("spend") * F.col("match_count")).alias("creative_spend"),
