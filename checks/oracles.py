@@ -133,6 +133,10 @@ def pct_change(cur_: str, prev: str) -> str:
     return f"CASE WHEN {prev} > 0 THEN {rnd(f'({cur_} - {prev}) / {prev} * 100', 1)} END"
 
 
+def count_if(condition: str) -> str:
+    return f"COUNT(*) FILTER (WHERE {condition})"
+
+
 def first(columns: str) -> str:
     return ", ".join(f"{c.strip()} NULLS FIRST" for c in columns.split(","))
 
@@ -262,42 +266,43 @@ def campaign(select: str, terms=("grow_c",), days=7, total=14) -> str:
     hit = " OR ".join(f"contains(lower(campaign), lower('{t}'))" for t in terms) or "1=0"
 
     def kpis(p: str) -> str:
-        return f"""SUM(bd.spend) AS spend_{p}, {bigint('SUM(bd.conversions)')} AS conversions_{p},
-    {ratio('SUM(bd.spend)', 'SUM(bd.conversions)')} AS cpa_{p},
-    {pct('SUM(bd.clicks)', 'SUM(bd.impressions)')} AS ctr_{p},
-    {pct('SUM(bd.conversions)', 'SUM(bd.clicks)')} AS cvr_{p}"""
+        return f"""SUM(spend) AS spend_{p}, {bigint('SUM(conversions)')} AS conversions_{p},
+    {ratio('SUM(spend)', 'SUM(conversions)')} AS cpa_{p},
+    {pct('SUM(clicks)', 'SUM(impressions)')} AS ctr_{p},
+    {pct('SUM(conversions)', 'SUM(clicks)')} AS cvr_{p}"""
 
     ctes = f"""
 matches AS (
   SELECT DISTINCT campaign_id, campaign, platform, country FROM facts
   WHERE {cur(total)} AND ({hit}) AND spend > 0),
+fanned AS (
+  SELECT campaign_id, m.campaign, m.platform, m.country, f.platform AS row_platform, ad_name, date,
+    spend, conversions, clicks, impressions
+  FROM matches m JOIN facts f USING (campaign_id)),
 current_period AS (
-  SELECT cm.campaign_id, cm.campaign, cm.platform, cm.country, {kpis('current')}
-  FROM matches cm JOIN facts bd ON cm.campaign_id = bd.campaign_id
-  WHERE {cur(days, 'bd.date')} GROUP BY 1, 2, 3, 4),
+  SELECT campaign_id, campaign, platform, country, {kpis('current')}
+  FROM fanned WHERE {cur(days)} GROUP BY ALL),
 comparison_period AS (
-  SELECT cm.campaign_id, {kpis('comparison')}
-  FROM matches cm JOIN facts bd ON cm.campaign_id = bd.campaign_id
-  WHERE {cmp(days, total, 'bd.date')} GROUP BY 1),
+  SELECT campaign_id, {kpis('comparison')} FROM fanned WHERE {cmp(days, total)} GROUP BY ALL),
 performance AS (
-  SELECT cp.*, comp.* EXCLUDE (campaign_id),
+  SELECT *,
     {pct_change('cpa_current', 'cpa_comparison')} AS cpa_change_pct,
     {pct_change('ctr_current', 'ctr_comparison')} AS ctr_change_pct,
     {pct_change('cvr_current', 'cvr_comparison')} AS cvr_change_pct,
     {rating('cpa_current')} AS performance_rating
-  FROM current_period cp LEFT JOIN comparison_period comp ON cp.campaign_id = comp.campaign_id),
+  FROM current_period LEFT JOIN comparison_period USING (campaign_id)),
 summary AS (
   SELECT COUNT(*) AS total_campaigns, {rnd('SUM(spend_current)', 2)} AS total_spend,
     {bigint('SUM(conversions_current)')} AS total_conversions,
     {rnd(ratio('SUM(spend_current)', 'SUM(conversions_current)'), 2)} AS blended_cpa,
-    COUNT(CASE WHEN performance_rating = 'EXCELLENT' THEN 1 END) AS excellent,
-    COUNT(CASE WHEN performance_rating = 'GOOD' THEN 1 END) AS good,
-    COUNT(CASE WHEN performance_rating = 'ACCEPTABLE' THEN 1 END) AS acceptable,
-    COUNT(CASE WHEN performance_rating = 'NEEDS_ATTENTION' THEN 1 END) AS needs_attention,
-    COUNT(CASE WHEN platform = 'Meta' THEN 1 END) AS meta,
-    COUNT(CASE WHEN platform = 'Google' THEN 1 END) AS google,
-    COUNT(CASE WHEN platform = 'tiktok' THEN 1 END) AS tiktok,
-    COUNT(CASE WHEN platform NOT IN ('Meta', 'Google', 'tiktok') THEN 1 END) AS other
+    {count_if("performance_rating = 'EXCELLENT'")} AS excellent,
+    {count_if("performance_rating = 'GOOD'")} AS good,
+    {count_if("performance_rating = 'ACCEPTABLE'")} AS acceptable,
+    {count_if("performance_rating = 'NEEDS_ATTENTION'")} AS needs_attention,
+    {count_if("platform = 'Meta'")} AS meta,
+    {count_if("platform = 'Google'")} AS google,
+    {count_if("platform = 'tiktok'")} AS tiktok,
+    {count_if("platform NOT IN ('Meta', 'Google', 'tiktok')")} AS other
   FROM performance),
 problems AS (
   SELECT ROW_NUMBER() OVER (ORDER BY spend_current DESC,
@@ -320,12 +325,11 @@ top_performers AS (
   FROM performance WHERE performance_rating IN ('EXCELLENT', 'GOOD') AND spend_current >= 200
   QUALIFY position <= 10),
 creative_rows AS (
-  SELECT bd.ad_name, bd.campaign_id, SUM(bd.spend) AS creative_spend,
-    {bigint('SUM(bd.conversions)')} AS creative_conversions,
-    {ratio('SUM(bd.spend)', 'SUM(bd.conversions)')} AS creative_cpa
-  FROM matches cm JOIN facts bd ON cm.campaign_id = bd.campaign_id
-  WHERE {cur(days, 'bd.date')} AND bd.platform = 'Meta' AND bd.ad_name IS NOT NULL
-  GROUP BY 1, 2 HAVING SUM(bd.spend) >= 100 AND SUM(bd.conversions) >= 2),
+  SELECT ad_name, campaign_id, SUM(spend) AS creative_spend,
+    {bigint('SUM(conversions)')} AS creative_conversions,
+    {ratio('SUM(spend)', 'SUM(conversions)')} AS creative_cpa
+  FROM fanned WHERE {cur(days)} AND row_platform = 'Meta' AND ad_name IS NOT NULL
+  GROUP BY ALL HAVING creative_spend >= 100 AND creative_conversions >= 2),
 creatives AS (
   SELECT ROW_NUMBER() OVER (ORDER BY creative_cpa NULLS FIRST, ad_name, campaign_id) AS position,
     substr(ad_name, 1, 100) AS ad_name, substr(split_part(ad_name, ' // ', 1), 1, 50) AS creative_concept,
@@ -450,10 +454,9 @@ def creative_report(label="14d", days=14, countries=COUNTRIES, min_spend=300, so
 def regional(select: str, platforms=("Meta", "Google"), days=14, trends=True) -> str:
     where = f"{in_list('platform', platforms)} AND spend > 0"
     if trends:
-        previous = f"""pp.spend_previous, pp.conversions_previous, pp.cpa_previous,
-    {pct_change('cp.cpa_current', 'pp.cpa_previous')} AS cpa_change_pct"""
-        join = """LEFT JOIN previous_period pp ON cp.platform = pp.platform
-    AND cp.country = pp.country AND cp.campaign_objective = pp.campaign_objective"""
+        previous = f"""spend_previous, conversions_previous, cpa_previous,
+    {pct_change('cpa_current', 'cpa_previous')} AS cpa_change_pct"""
+        join = "LEFT JOIN previous_period USING (platform, country, campaign_objective)"
     else:
         previous = """CAST(NULL AS DECIMAL(38,2)) AS spend_previous,
     CAST(NULL AS BIGINT) AS conversions_previous, CAST(NULL AS DOUBLE) AS cpa_previous,
@@ -473,17 +476,16 @@ previous_period AS (
     {ratio('SUM(spend)', 'SUM(conversions)')} AS cpa_previous
   FROM facts WHERE {cmp(days, 2 * days)} AND {where} GROUP BY 1, 2, 3),
 performance AS (
-  SELECT cp.platform, cp.country, cp.campaign_objective, cp.spend_current, cp.conversions_current,
-    cp.cpa_current, cp.ctr_current, cp.campaign_count_current, {previous},
-    {rating('cp.cpa_current')} AS performance_rating
-  FROM current_period cp {join} WHERE cp.spend_current >= 500),
+  SELECT platform, country, campaign_objective, spend_current, conversions_current, cpa_current,
+    ctr_current, campaign_count_current, {previous}, {rating('cpa_current')} AS performance_rating
+  FROM current_period {join} WHERE spend_current >= 500),
 summary AS (
   SELECT country, SUM(spend_current) AS total_spend, {bigint('SUM(conversions_current)')} AS total_conversions,
     {ratio('SUM(spend_current)', 'SUM(conversions_current)')} AS blended_cpa, AVG(ctr_current) AS avg_ctr,
     {bigint('SUM(campaign_count_current)')} AS total_campaigns,
     COUNT(DISTINCT platform) AS active_platforms, {mean('cpa_change_pct')} AS avg_cpa_change,
-    COUNT(CASE WHEN performance_rating IN ('EXCELLENT', 'GOOD') THEN 1 END) AS strong_segments,
-    COUNT(CASE WHEN performance_rating = 'NEEDS_ATTENTION' THEN 1 END) AS weak_segments
+    {count_if("performance_rating IN ('EXCELLENT', 'GOOD')")} AS strong_segments,
+    {count_if("performance_rating = 'NEEDS_ATTENTION'")} AS weak_segments
   FROM performance GROUP BY country HAVING SUM(spend_current) >= 1000),
 ranked AS (
   SELECT *, ROW_NUMBER() OVER (ORDER BY {first('blended_cpa, country')}) AS efficiency_rank FROM summary),
@@ -574,10 +576,10 @@ def anomaly(select: str, sensitivity="medium", platforms=REPORT_PLATFORMS, count
       ELSE {size('regional_cpa_change')} * CAST(total_spend_current AS DOUBLE) END"""
     ctes = f"""{period('current', cur(7))},{period('comparison', cmp(7, 14))},
 features AS (
-  SELECT cp.campaign_id, cp.platform, cp.country, cp.campaign_objective, cp.campaign, cp.spend_current,
-    cp.conversions_current, cp.cpa_current, cp.ctr_current, cp.cvr_current, comp.spend_comparison,
-    comp.conversions_comparison, comp.cpa_comparison, comp.ctr_comparison, comp.cvr_comparison,
-    {target('cp.platform')} AS target_cpa,
+  SELECT campaign_id, platform, country, c.campaign_objective, c.campaign, spend_current,
+    conversions_current, cpa_current, ctr_current, cvr_current, spend_comparison,
+    conversions_comparison, cpa_comparison, ctr_comparison, cvr_comparison,
+    {target()} AS target_cpa,
     {change('cpa_current', 'cpa_comparison')} AS cpa_change_pct,
     {change('ctr_current', 'ctr_comparison')} AS ctr_change_pct,
     {change('cvr_current', 'cvr_comparison')} AS cvr_change_pct,
@@ -586,12 +588,11 @@ features AS (
          WHEN spend_current >= {2 * min_spend} AND conversions_current >= {2 * min_conv} THEN 'MEDIUM'
          WHEN spend_current >= {min_spend} AND conversions_current >= {min_conv} THEN 'LOW'
          ELSE 'INSUFFICIENT' END AS confidence_level,
-    CAST(CASE WHEN cpa_current > {target('cp.platform')}
-      THEN spend_current - CAST({target('cp.platform')} AS DECIMAL(10,2)) * conversions_current
+    CAST(CASE WHEN cpa_current > {target()}
+      THEN spend_current - CAST({target()} AS DECIMAL(10,2)) * conversions_current
       ELSE 0 END AS DECIMAL(38,4)) AS excess_cost
-  FROM current_period cp LEFT JOIN comparison_period comp
-    ON cp.campaign_id = comp.campaign_id AND cp.platform = comp.platform AND cp.country = comp.country
-  WHERE cp.spend_current >= {impact}),
+  FROM current_period c LEFT JOIN comparison_period USING (campaign_id, platform, country)
+  WHERE spend_current >= {impact}),
 regions AS (
   SELECT *, {change('blended_cpa_current', 'blended_cpa_comparison')} AS regional_cpa_change FROM (
     SELECT platform, country, SUM(spend_current) AS total_spend_current,
@@ -601,8 +602,8 @@ regions AS (
       {bigint('SUM(conversions_comparison)')} AS total_conversions_comparison,
       {ratio('SUM(spend_comparison)', 'SUM(conversions_comparison)')} AS blended_cpa_comparison,
       COUNT(*) AS campaign_count,
-      COUNT(CASE WHEN confidence_level = 'HIGH' THEN 1 END) AS high_confidence_campaigns,
-      COUNT(CASE WHEN {size('cpa_change_pct')} >= {t}::DOUBLE THEN 1 END) AS volatile_campaigns,
+      {count_if("confidence_level = 'HIGH'")} AS high_confidence_campaigns,
+      {count_if(f"{size('cpa_change_pct')} >= {t}::DOUBLE")} AS volatile_campaigns,
       SUM(excess_cost) AS total_excess_cost
     FROM features WHERE confidence_level <> 'INSUFFICIENT' GROUP BY 1, 2)),
 top_campaigns AS (
@@ -781,18 +782,18 @@ regions AS (
     SUM(additional_budget_needed) AS total_additional_budget,
     {bigint('SUM(potential_clicks_from_rank)')} AS total_potential_clicks,
     {mean('opportunity_score')} AS avg_opportunity_score,
-    COUNT(CASE WHEN opportunity_type = 'OPTIMIZED' THEN 1 END) AS optimized_campaigns,
-    COUNT(CASE WHEN total_lost_share >= 30 THEN 1 END) AS high_opportunity_campaigns
+    {count_if("opportunity_type = 'OPTIMIZED'")} AS optimized_campaigns,
+    {count_if("total_lost_share >= 30")} AS high_opportunity_campaigns
   FROM shown GROUP BY region),
 overall AS (
   SELECT COUNT(*) AS total_campaigns_analyzed, SUM(total_spend) AS total_spend_analyzed,
     {bigint('SUM(total_conversions)')} AS total_conversions_analyzed,
     {ratio('SUM(total_spend)', 'SUM(total_conversions)')} AS overall_cpa,
-    COUNT(CASE WHEN opportunity_type = 'OPTIMIZED' THEN 1 END) AS optimized_campaigns,
-    COUNT(CASE WHEN total_lost_share >= 30 THEN 1 END) AS high_opportunity_count,
-    COUNT(CASE WHEN total_lost_share >= 15 THEN 1 END) AS actionable_opportunity_count,
-    COUNT(CASE WHEN opportunity_type = 'BUDGET_OPPORTUNITY' THEN 1 END) AS budget_opportunities,
-    COUNT(CASE WHEN opportunity_type = 'RANK_OPPORTUNITY' THEN 1 END) AS rank_opportunities,
+    {count_if("opportunity_type = 'OPTIMIZED'")} AS optimized_campaigns,
+    {count_if("total_lost_share >= 30")} AS high_opportunity_count,
+    {count_if("total_lost_share >= 15")} AS actionable_opportunity_count,
+    {count_if("opportunity_type = 'BUDGET_OPPORTUNITY'")} AS budget_opportunities,
+    {count_if("opportunity_type = 'RANK_OPPORTUNITY'")} AS rank_opportunities,
     SUM(additional_budget_needed) AS total_budget_opportunity,
     {bigint('SUM(potential_clicks_from_rank)')} AS total_rank_opportunity,
     {mean('opportunity_score')} AS average_opportunity_score
