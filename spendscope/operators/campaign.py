@@ -9,7 +9,7 @@ The matches are found first and written once. When they are few, which the opera
 check, their ids are broadcast: the facts of all other campaigns are dropped in the
 scan task and nothing but the matched totals is shuffled. When they are many, the
 facts are aggregated to one row per appearance and the totals per id are a window over
-those rows. Either way facts and matches are never joined row by row.
+those rows. Either way the fan-out of facts by matches is never built.
 """
 
 from __future__ import annotations
