@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import (decontam, frames, langid, packing, pii, quality, rules, sharding, simhash, training_order)
+from spendscope.llm import (decontam, frames, langid, packing, pii, quality, rules, sharding, simhash, suffix_dedup,
+                            training_order)
 from spendscope.llm.oracles import DECONTAMINATION
 
 ORDER_KEY = "epoch-0"
@@ -48,6 +49,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(frames.read(spark, sf_dir, "documents"))
+
+
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_order.ordered(frames.read(spark, sf_dir, "documents"), tokenizer_path(), ORDER_KEY)
     return rows.select("slot", "shard", "record", "index", F.col("first_id").alias("first_doc_id"), "n_tokens",
@@ -74,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_pii, op3_packing, op4_quality_rules, op5_decontamination,
+        op1_quality_classifier, op2_pii, op3_packing, op4_quality_rules, op5_decontamination, op6_suffix_dedup,
         op7_training_order, op8_simhash, op9_sharding, op10_language_id)}
 
 

@@ -1,0 +1,8 @@
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def few_partitions(spark):
+    """Small tables: few tasks, and room in the checkpoint folder of the session."""
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
