@@ -44,6 +44,8 @@ SENSITIVITY = MappingProxyType(
 
 @dataclass(frozen=True)
 class Settings:
+    """Fixed values too: the defaults below are those of the reports."""
+
     # cost per acquisition
     platform_target_cpa: Mapping[str, float] = field(default=PLATFORM_TARGET_CPA)
     default_target_cpa: float = DEFAULT_TARGET_CPA

@@ -29,7 +29,12 @@ _CLICKS = "qty * (1 + disc_pp) div 2"
 _SPEND = "CAST(spend_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 
 
-def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FEW = "l_partkey % 24"
+# a campaign for each part, and one of them with half of all rows
+_MANY = "CASE WHEN l_orderkey % 2 = 0 THEN 8 ELSE l_partkey END"
+
+
+def _line_items(spark: SparkSession, sf_dir: str, campaign: str = _FEW) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,11 +51,12 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         table("lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .selectExpr(
+            "l_orderkey",
             "l_suppkey",
             "l_linenumber",
             "l_returnflag",
             "r_name",
-            "l_partkey % 24 AS k",
+            f"{campaign} AS k",
             "CAST(datediff(CAST(l_shipdate AS DATE), DATE '1995-01-01') % 60 AS INT) AS off",
             "CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents",
             "CAST(round(l_discount * 100) AS BIGINT) AS disc_pp",
@@ -65,7 +71,22 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _line_items(spark, sf_dir).selectExpr(
+    return _performance(_line_items(spark, sf_dir))
+
+
+def blended_summary_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts with fractional conversions."""
+    return _performance(_line_items(spark, sf_dir), conversions="CAST(qty / 20 AS DECIMAL(18,2))")
+
+
+def blended_summary_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts with keys that grow with the data: a campaign for each part, an ad
+    for each order, and half of all rows in one campaign."""
+    return _performance(_line_items(spark, sf_dir, _MANY), ad="l_orderkey")
+
+
+def _performance(lines: DataFrame, conversions: str = "qty div 20", ad: str = "l_suppkey % 5") -> DataFrame:
+    facts = lines.selectExpr(
         f"{_DAY} AS date",
         """CASE k % 4 WHEN 0 THEN 'Meta' WHEN 1 THEN 'Google' WHEN 2 THEN 'Bing'
                       ELSE 'tiktok' END AS platform""",
@@ -74,7 +95,7 @@ def blended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_CAMPAIGN} AS campaign",
         """CASE WHEN k = 23 THEN NULL WHEN k % 3 = 0 THEN 'Conversions'
                 WHEN k % 3 = 1 THEN 'Awareness' ELSE 'Traffic' END AS campaign_objective""",
-        "concat('ad_', CAST(k AS STRING), '_', CAST(l_suppkey % 5 AS STRING)) AS ad_id",
+        f"concat('ad_', CAST(k AS STRING), '_', CAST({ad} AS STRING)) AS ad_id",
         """CASE l_suppkey % 5
              WHEN 0 THEN concat('Standalone creative ', CAST(k AS STRING))
              WHEN 1 THEN NULL
@@ -85,14 +106,30 @@ def blended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "qty * 60 AS impressions",
         f"{_CLICKS} AS clicks",
         f"{_SPEND} AS spend",
-        "qty div 20 AS conversions",
-        f"try_divide(CAST({_SPEND} AS DOUBLE), CAST(qty div 20 AS DOUBLE)) AS cpa",
+        f"{conversions} AS conversions",
+        f"try_divide(CAST({_SPEND} AS DOUBLE), CAST({conversions} AS DOUBLE)) AS cpa",
     )
     return conform(facts, BLENDED_SUMMARY)
 
 
 def impression_share_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _line_items(spark, sf_dir).selectExpr(
+    return _shares(_line_items(spark, sf_dir))
+
+
+def impression_share_report_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts with a campaign for each part, half of all rows in one of them, and
+    free-text diagnoses."""
+    diagnosis = """CASE WHEN l_returnflag = 'A' THEN NULL
+                        ELSE concat('order ', CAST(l_orderkey % 5000 AS STRING)) END"""
+    return _shares(_line_items(spark, sf_dir, _MANY), diagnosis)
+
+
+_DIAGNOSIS = """CASE l_returnflag WHEN 'A' THEN 'budget limited' WHEN 'R' THEN 'rank limited'
+                             ELSE NULL END"""
+
+
+def _shares(lines: DataFrame, diagnosis: str = _DIAGNOSIS) -> DataFrame:
+    facts = lines.selectExpr(
         f"{_DAY} AS date",
         f"{_COUNTRY} AS region",
         f"{_CAMPAIGN} AS campaign",
@@ -120,7 +157,6 @@ def impression_share_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(disc_pp - 5 AS DECIMAL(9,2)) AS wow_impression_share_change",
         """CASE (qty + k) % 4 WHEN 0 THEN 'dominant' WHEN 1 THEN 'competitive'
                              WHEN 2 THEN 'lagging' ELSE NULL END AS market_position""",
-        """CASE l_returnflag WHEN 'A' THEN 'budget limited' WHEN 'R' THEN 'rank limited'
-                             ELSE NULL END AS performance_diagnosis""",
+        f"{diagnosis} AS performance_diagnosis",
     )
     return conform(facts, IMPRESSION_SHARE_REPORT)

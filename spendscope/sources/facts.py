@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendscope.sources.schemas import FACT_SCHEMAS, conform
+from spendscope.sources.schemas import FACT_SCHEMAS, checked, require_columns
 
 
 # columns most filters name: sorted by them, whole pages of a file can be skipped
@@ -15,9 +15,9 @@ _CLUSTERING = {
 
 
 def read_facts(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Read a fact table stored as parquet, with its fixed schema: no inference
-    job, and only the columns an operator uses are read."""
-    return spark.read.schema(FACT_SCHEMAS[table]).parquet(path)
+    """Read a fact table stored as parquet. Types are those of the files; a type that does
+    not fit the table raises ``ValueError``. Only the columns an operator uses are read."""
+    return checked(spark.read.parquet(path), FACT_SCHEMAS[table])
 
 
 def write_facts(df: DataFrame, table: str, path: str, mode: str = "error") -> None:
@@ -25,12 +25,14 @@ def write_facts(df: DataFrame, table: str, path: str, mode: str = "error") -> No
 
     The rebalance hint groups rows by day before the write, and adaptive execution
     splits a day that holds far more rows than the others over several tasks. Within a
-    file the rows are sorted by the columns that filters name.
+    file the rows are sorted by the columns that filters name. Columns and types are
+    written as they are; one that does not fit the table raises ``ValueError``.
     """
+    clustering = [c for c in _CLUSTERING[table] if c in df.columns]
     (
-        conform(df, FACT_SCHEMAS[table])
+        checked(require_columns(df, ["date"]), FACT_SCHEMAS[table])
         .hint("rebalance", "date")
-        .sortWithinPartitions("date", *_CLUSTERING[table])
+        .sortWithinPartitions("date", *clustering)
         .write.mode(mode)
         .partitionBy("date")
         .parquet(path)

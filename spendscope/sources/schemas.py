@@ -14,7 +14,8 @@ def _struct(columns: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in columns])
 
 
-# Column names and order of the two tables.
+# Column names and order of the two tables. The numeric types are those of
+# columns that are missing; a table's own numeric types are kept.
 BLENDED_SUMMARY = _struct(
     [
         ("account_name", T.StringType()),
@@ -105,11 +106,35 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def _accepted(declared: T.DataType, found: T.DataType) -> bool:
+    """Whether a column may have the type it has: measures any number, kept as it is,
+    every other column the declared type."""
+    if isinstance(declared, T.NumericType):
+        return isinstance(found, T.NumericType)
+    return type(declared) is type(found)
+
+
+def checked(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` as it is, if its columns of the table have fitting types. Types come from the
+    data: a fractional count stays fractional, and columns the table does not name stay."""
+    types = {f.name: f.dataType for f in df.schema}
+    wrong = [
+        f"{f.name} is {types[f.name].simpleString()}, not {f.dataType.simpleString()}"
+        for f in schema if f.name in types and not _accepted(f.dataType, types[f.name])
+    ]
+    if wrong:
+        raise ValueError("wrong types: " + "; ".join(wrong))
+    return df
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project to ``schema``: cast what is there, typed NULL for what is not."""
-    return df.select(
-        [
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    """All columns of the table in its order: what is there unchanged, typed NULL for what
+    is not, further columns last."""
+    names = set(schema.names)
+    return checked(df, schema).select(
+        *[
+            F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema
-        ]
+        ],
+        *[c for c in df.columns if c not in names],
     )
