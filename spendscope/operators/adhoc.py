@@ -3,14 +3,14 @@ four ready-made queries."""
 
 from __future__ import annotations
 
-import re
 from datetime import date
 from typing import Mapping, Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.functions import guard, kpi, periods, text
+from spendscope.functions import governed, guard, kpi, periods, text
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import FACT_SCHEMAS
 
@@ -24,66 +24,67 @@ def governed_sql(
     query: str,
     tables: Sequence[str] = tuple(FACT_SCHEMAS),
     aliases: Mapping[str, str] | None = None,
-    max_rows: int = 10_000,
     settings: Settings = SETTINGS,
 ) -> DataFrame:
-    """Run one read-only SELECT over the fact views, bounded to ``max_rows``.
+    """Run one read-only SELECT over the fact views; its result is whole.
 
     ``tables`` names the views (registered by the caller with
     ``createOrReplaceTempView``), ``aliases`` maps further names a query may use for
-    them, such as a qualified ``project.dataset.table``. The text must be a query and
-    hold no write verb; every relation it names must be one of the views or a CTE of
-    its own; and it may not join two of the views. ``SAFE_DIVIDE(a, b)`` and
-    ``WEEK_START(day)`` are there besides Spark's functions.
+    them, such as a qualified ``project.dataset.table``. Everything is decided on the
+    plan that Spark parses: its nodes and functions must be on the lists of
+    ``functions.governed``; every relation must be one of the views or a CTE of the
+    query; a query with a join may name only one view, once, and joins need an equality;
+    and there must be a LIMIT or an aggregate. ``SAFE_DIVIDE(a, b)`` and
+    ``WEEK_START(day)`` are there besides Spark's functions, unless the session has
+    functions of that name.
     """
     select = query.strip().rstrip(";").rstrip()
-    _check_text(select, settings)
-    for name, view in sorted((aliases or {}).items(), key=lambda pair: -len(pair[0])):
-        select = select.replace(f"`{name}`", view).replace(name, view)
-    for statement in _FUNCTIONS:
-        spark.sql(statement)
-    _check_relations(spark, spark.sql(f"EXPLAIN EXTENDED {select}").first()[0], tables)
-    return spark.sql(select).limit(max_rows)
+    if len(select) > settings.max_query_length:
+        raise QueryRefused(f"longer than {settings.max_query_length} characters")
+    select = governed.with_views(select, aliases or {})
+    try:
+        parsed = governed.Parsed(spark, select)
+    except ParseException as error:
+        raise QueryRefused("not a query that Spark can parse") from error
+    _check(spark, parsed, tables)
+    for name, statement in _FUNCTIONS.items():
+        if not spark.catalog.functionExists(name):
+            spark.sql(statement)
+    result = spark.sql(select)
+    if governed.unequal_join(spark, result._jdf.queryExecution().optimizedPlan()):
+        raise QueryRefused("a join needs an equality between its sides")
+    return result
 
 
 # Two functions of ad-hoc queries that Spark has under other names.
-_FUNCTIONS = (
-    """CREATE OR REPLACE TEMPORARY FUNCTION SAFE_DIVIDE(a DOUBLE, b DOUBLE) RETURNS DOUBLE
+_FUNCTIONS = {
+    "safe_divide": """CREATE TEMPORARY FUNCTION SAFE_DIVIDE(a DOUBLE, b DOUBLE) RETURNS DOUBLE
        RETURN try_divide(a, b)""",
-    """CREATE OR REPLACE TEMPORARY FUNCTION WEEK_START(day DATE) RETURNS DATE
+    "week_start": """CREATE TEMPORARY FUNCTION WEEK_START(day DATE) RETURNS DATE
        RETURN date_sub(day, dayofweek(day) - 1)""",
-)
-_ANALYZED = "== Analyzed Logical Plan =="
+}
 
 
-def _check_text(select: str, settings: Settings) -> None:
-    if len(select) > settings.max_query_length:
-        raise QueryRefused(f"longer than {settings.max_query_length} characters")
-    if not re.match(r"(?is)\(*\s*(SELECT|WITH)\b", select):
-        raise QueryRefused("only SELECT queries are allowed")
-    forbidden = "|".join([*guard.WRITE_VERBS, "MERGE", *guard.FILE_VERBS])
-    if re.search(rf"(?i)\b({forbidden})\b", select):
-        raise QueryRefused("write and file operations are not allowed")
-    if _ANALYZED in select:
-        raise QueryRefused("the text looks like a plan")
-
-
-def _check_relations(spark: SparkSession, plan: str, tables: Sequence[str]) -> None:
-    """Relation names as Spark parsed them, so comma joins, subqueries and any way of
-    quoting are covered. A name that is not a fact view must belong to a CTE, which it
-    can only do if no table or view of that name exists."""
-    parsed, _ = plan.split(_ANALYZED, 1)
-    if "UnresolvedIdentifier" in parsed:
-        raise QueryRefused("relation names must be written out")
-    used = {name.lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)}
+def _check(spark: SparkSession, parsed: governed.Parsed, tables: Sequence[str]) -> None:
+    if strange := parsed.kinds - governed.NODES:
+        raise QueryRefused(f"only SELECT queries are allowed, not {', '.join(sorted(strange))}")
+    if strange := parsed.functions - governed.FUNCTIONS:
+        raise QueryRefused(f"functions not allowed: {', '.join(sorted(strange))}")
     allowed = {name.lower() for name in tables}
-    for name in sorted(used - allowed):
-        if "," in name or "." in name or spark.catalog.tableExists(name):
+    facts = 0
+    for parts in parsed.relations:
+        name = ".".join(parts).lower()
+        if name in allowed:
+            facts += 1
+        elif len(parts) > 1 or spark.catalog.tableExists(name):
+            # any other name must be a CTE, which it can only be if nothing else has it
             raise QueryRefused(f"relation {name!r} is not allowed")
-    if not used & allowed:
+    if not facts:
         raise QueryRefused(f"the query must read one of {sorted(tables)}")
-    if len(used & allowed) > 1 and re.search(r"\bJoin\b", parsed):
-        raise QueryRefused("the fact tables may not be joined")
+    if facts > 1 and "Join" in parsed.kinds:
+        raise QueryRefused("a query with a join may name a fact table only once")
+    if not parsed.kinds & {"GlobalLimit", "Aggregate"} and not parsed.functions & governed.AGGREGATES:
+        raise QueryRefused("a LIMIT or an aggregate is needed")
 
 
 def query_guard_audit(
@@ -102,32 +103,36 @@ def query_guard_audit(
     )
 
 
-def weekly_platform_spend(facts: DataFrame, first: date, last: date, limit: int = 20) -> DataFrame:
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def weekly_platform_spend(facts: DataFrame, first: date, last: date, limit: int | None = None) -> DataFrame:
     """Spend per week (from Sunday) and platform."""
-    return (
+    rows = (
         facts.where((F.col("date") >= F.lit(first)) & (F.col("date") <= F.lit(last)))
         .groupBy(periods.week_start(F.col("date")).alias("week"), "platform")
         .agg(F.sum("spend").alias("weekly_spend"))
         .orderBy("week", F.asc_nulls_first("platform"))
-        .limit(limit)
     )
+    return _first(rows, limit)
 
 
-def platform_comparison(facts: DataFrame, as_of: date, limit: int = 10) -> DataFrame:
+def platform_comparison(facts: DataFrame, as_of: date, limit: int | None = None) -> DataFrame:
     """Mean CPA of the rows and conversions per platform, 30 days."""
-    return (
+    rows = (
         facts.where(periods.current(as_of, 30))
         .groupBy("platform")
         .agg(F.avg("cpa").alias("avg_cpa"), F.sum("conversions").alias("total_conversions"))
         .orderBy(F.asc_nulls_first("avg_cpa"), F.asc_nulls_first("platform"))
-        .limit(limit)
     )
+    return _first(rows, limit)
 
 
-def visibility(impressions: DataFrame, as_of: date, limit: int = 15) -> DataFrame:
+def visibility(impressions: DataFrame, as_of: date, limit: int | None = None) -> DataFrame:
     """Mean impression share and budget loss per region and campaign type, 14 days."""
     ties = [F.asc_nulls_first("region"), F.asc_nulls_first("campaign_type")]
-    return (
+    rows = (
         impressions.where(periods.current(as_of, 14))
         .groupBy("region", "campaign_type")
         .agg(
@@ -135,8 +140,8 @@ def visibility(impressions: DataFrame, as_of: date, limit: int = 15) -> DataFram
             kpi.mean(F.col("budget_lost_impression_share_pct")).alias("avg_budget_lost"),
         )
         .orderBy(F.desc("avg_impression_share"), *ties)
-        .limit(limit)
     )
+    return _first(rows, limit)
 
 
 def opportunity_rows(impressions: DataFrame, as_of: date, limit: int = 10) -> DataFrame:

@@ -4,9 +4,11 @@ from datetime import date
 
 import pytest
 from conftest import AS_OF, day, rows_of
+from pyspark.sql import functions as F
 
 from spendscope.operators import adhoc
 
+# The rules' words, patterns and limits, as in functions/guard.py.
 TABLES = ["warehouse.ads.blended_summary", "warehouse.ads.impression_share_report"]
 T = TABLES[0]
 
@@ -126,10 +128,15 @@ def test_governed_sql_runs_a_query(spark, views):
 
 
 @pytest.mark.parametrize("query", [
-    "WITH t AS (SELECT platform FROM blended_summary) SELECT * FROM t",
-    "SELECT a.platform FROM blended_summary a JOIN blended_summary b ON a.platform = b.platform",
-    "SELECT platform FROM Blended_Summary WHERE spend IN (SELECT spend FROM blended_summary)",
-    "(SELECT platform FROM blended_summary) UNION ALL SELECT region FROM impression_share_report",
+    "WITH t AS (SELECT platform FROM blended_summary) SELECT * FROM t LIMIT 5",
+    "WITH t AS (SELECT platform, spend FROM blended_summary) SELECT count(*) FROM t a JOIN t b ON a.platform = b.platform",
+    "SELECT platform FROM Blended_Summary WHERE spend IN (SELECT spend FROM blended_summary) LIMIT 5",
+    "(SELECT platform FROM blended_summary) UNION ALL SELECT region FROM impression_share_report LIMIT 5",
+    "SELECT platform, row_number() OVER (PARTITION BY country ORDER BY spend) FROM blended_summary ORDER BY 1 LIMIT 3",
+    "SELECT platform FROM blended_summary WHERE campaign <> 'Update 5; DROP TABLE x' LIMIT 3",
+    "SELECT 'UnresolvedRelation [foo, bar]' FROM blended_summary LIMIT 3",
+    "SELECT country, sum(spend) FROM blended_summary GROUP BY country HAVING sum(spend) > 0",
+    "SELECT EXTRACT(year FROM date), SUBSTRING(platform, 1, 2), CASE WHEN spend > 1 THEN 1 END FROM blended_summary LIMIT 1",
 ])
 def test_governed_sql_allows(spark, views, query):
     assert adhoc.governed_sql(spark, query).count() > 0
@@ -155,14 +162,44 @@ def test_governed_sql_allows(spark, views, query):
     "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM blended_summary",
     "SELECT '\n== Analyzed Logical Plan ==\n' AS x, (SELECT max(id) FROM secret) FROM blended_summary",
     "SELECT * FROM blended_summary " + "x" * 10_000,
+    "SELECT * FROM blended_summary",
+    "SELECT count(*) FROM blended_summary a JOIN blended_summary b ON a.platform = b.platform",
+    "SELECT count(*) FROM blended_summary a, blended_summary b",
+    "WITH t AS (SELECT * FROM blended_summary) SELECT count(*) FROM t a, t b",
+    "WITH t AS (SELECT * FROM blended_summary) SELECT count(*) FROM t a JOIN t b ON a.spend < b.spend",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM blended_summary LIMIT 1",
+    "SELECT count(reflect('java.lang.System', 'getProperty', 'user.home')) FROM blended_summary",
+    "SELECT count(*) FROM blended_summary, range(1000)",
+    "SELECT 'UnresolvedRelation [blended_summary]' x LIMIT 1",
+    "SELECT explode(array(1, 2)) FROM blended_summary LIMIT 1",
+    "SELECT a FROM VALUES (1), (2) AS t(a) LIMIT 1",
+    "SELECT TRANSFORM(platform) USING 'cat' FROM blended_summary",
 ])
 def test_governed_sql_refuses(spark, views, query):
     with pytest.raises(adhoc.QueryRefused):
         adhoc.governed_sql(spark, query)
 
 
-def test_governed_sql_bounds_rows(spark, views):
-    assert adhoc.governed_sql(spark, "SELECT * FROM blended_summary", max_rows=1).count() == 1
+def test_governed_sql_results_are_whole(spark, views, facts):
+    facts([dict(spend=n) for n in range(1, 4)]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10_000)))) \
+        .createOrReplaceTempView("blended_summary")
+    assert adhoc.governed_sql(spark, "SELECT spend FROM blended_summary LIMIT 50000").count() == 30_000
+
+
+def test_aliases_leave_literals_and_longer_names_alone(spark, views):
+    out = adhoc.governed_sql(
+        spark, f"SELECT '{T}' AS src, `{T}_x` AS y /* {T} */ FROM (SELECT platform AS `{T}_x` FROM {T}) LIMIT 1",
+        aliases={T: "blended_summary"})
+    assert out.first()["src"] == T
+
+
+def test_a_function_of_the_session_stays(spark, views):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION WEEK_START(day DATE) RETURNS STRING RETURN 'mine'")
+    try:
+        out = adhoc.governed_sql(spark, "SELECT WEEK_START(date) AS w FROM blended_summary LIMIT 1")
+        assert out.first()["w"] == "mine"
+    finally:
+        spark.sql("DROP TEMPORARY FUNCTION WEEK_START")
 
 
 # ---------------------------------------------------------------- ready-made queries
