@@ -7,6 +7,9 @@ are double / double, rounding is done in decimal, and every order has a tie-brea
 
 from __future__ import annotations
 
+# Thresholds, labels, limits, section and field names in this module are
+# those of the reports and must equal them.
+
 AS_OF = "DATE '2024-01-30'"
 REPORT_PLATFORMS = ("Meta", "Google", "Bing")
 COUNTRIES = ("US", "AU", "UK")
@@ -80,6 +83,26 @@ facts AS (
   FROM cents)"""
 
 
+def decimal_counts(statement: str) -> str:
+    """The statement over facts with fractional conversions."""
+    return statement.replace("qty // 20", "CAST(qty / 20 AS DECIMAL(18,2))").replace(
+        "CAST(SUM(conversions) AS BIGINT)", "CAST(SUM(conversions) AS DOUBLE)").replace(
+        "CAST(SUM(total_conversions) AS BIGINT)", "CAST(SUM(total_conversions) AS DOUBLE)")
+
+
+def many_keys(statement: str) -> str:
+    """The statement over facts with a campaign per part, half of all rows in one of them,
+    an ad per order and free-text diagnoses."""
+    for old, new in (
+        ("l_partkey % 24 AS k", "CASE WHEN l_orderkey % 2 = 0 THEN 8 ELSE l_partkey END AS k"),
+        ("'_' || CAST(l_suppkey % 5 AS VARCHAR) AS ad_id", "'_' || CAST(l_orderkey AS VARCHAR) AS ad_id"),
+        ("CASE l_returnflag WHEN 'A' THEN 'budget limited' WHEN 'R' THEN 'rank limited'\n         ELSE NULL END AS performance_diagnosis",
+         "CASE WHEN l_returnflag = 'A' THEN NULL ELSE 'order ' || CAST(l_orderkey % 5000 AS VARCHAR) END AS performance_diagnosis"),
+    ):
+        statement = statement.replace(old, new)
+    return statement
+
+
 # ---------------------------------------------------------------- fragments
 
 
@@ -149,9 +172,15 @@ def doubles(table: str, columns: str, rounded: str = "", order: str = "") -> str
     return f"SELECT *{replace} FROM {table} {order}"
 
 
-def items(table: str, columns: str, order: str = "position") -> str:
-    fields = ", ".join(f"'{c}': {c}" for c in columns.split())
-    return f"(SELECT list({{{fields}}} ORDER BY {order}) FROM {table})"
+def item(columns: str, cut: dict[str, int] | None = None) -> str:
+    """A struct of the columns, long names cut."""
+    cut = cut or {}
+    return "{" + ", ".join(
+        f"'{c}': substr({c}, 1, {cut[c]})" if c in cut else f"'{c}': {c}" for c in columns.split()) + "}"
+
+
+def items(table: str, columns: str, order: str = "position", cut: dict[str, int] | None = None) -> str:
+    return f"(SELECT list({item(columns, cut)} ORDER BY {order}) FROM {table})"
 
 
 def texts(values) -> str:
@@ -308,7 +337,7 @@ problems AS (
   SELECT ROW_NUMBER() OVER (ORDER BY spend_current DESC,
       {first('campaign_id, campaign, platform, country')}) AS position,
     campaign_id, campaign, spend_current,
-    substr(campaign, 1, 80) AS campaign_name, platform, country,
+    campaign AS campaign_name, platform, country,
     {rnd('spend_current', 2)} AS current_spend, conversions_current AS current_conversions,
     {rnd('cpa_current', 2)} AS current_cpa,
     {rnd('COALESCE(cpa_comparison, 0)', 2)} AS comparison_cpa,
@@ -318,7 +347,7 @@ problems AS (
 top_performers AS (
   SELECT ROW_NUMBER() OVER (ORDER BY spend_current DESC,
       {first('campaign_id, campaign, platform, country')}) AS position,
-    substr(campaign, 1, 80) AS campaign_name, platform, country,
+    campaign AS campaign_name, platform, country,
     {rnd('spend_current', 2)} AS spend, conversions_current AS conversions,
     {rnd('cpa_current', 2)} AS cpa,
     COALESCE(cpa_change_pct, CAST(0 AS DECIMAL(38,1))) AS cpa_change_pct
@@ -332,14 +361,16 @@ creative_rows AS (
   GROUP BY ALL HAVING creative_spend >= 100 AND creative_conversions >= 2),
 creatives AS (
   SELECT ROW_NUMBER() OVER (ORDER BY creative_cpa NULLS FIRST, ad_name, campaign_id) AS position,
-    substr(ad_name, 1, 100) AS ad_name, substr(split_part(ad_name, ' // ', 1), 1, 50) AS creative_concept,
+    ad_name, split_part(ad_name, ' // ', 1) AS creative_concept,
     {rnd('creative_spend', 2)} AS spend, creative_conversions AS conversions,
     {rnd('creative_cpa', 2)} AS cpa
   FROM creative_rows QUALIFY position <= 10)"""
     return with_(BLENDED, ctes, select=select)
 
 
-def campaign_report(terms, label="week_over_week", days=7, total=14, creatives=False) -> str:
+def campaign_report(terms, label="week_over_week", days=7, total=14, creatives=False, per_row=10_000) -> str:
+    problem = item("campaign_name platform country current_spend current_conversions current_cpa "
+                   "comparison_cpa cpa_change_pct performance_rating", {"campaign_name": 80})
     parts = [
         section("EXECUTIVE_SUMMARY", {
             "analysis_type": f"'{label}'",
@@ -351,16 +382,19 @@ def campaign_report(terms, label="week_over_week", days=7, total=14, creatives=F
             "platform_breakdown": "{" + ", ".join(
                 f"'{c}': {c}" for c in "meta google tiktok other".split()) + "}",
         }) + " FROM summary",
-        section("PROBLEM_CAMPAIGNS", {"campaigns_needing_attention": items(
-            "problems", "campaign_name platform country current_spend current_conversions current_cpa "
-            "comparison_cpa cpa_change_pct performance_rating")}),
+        section("PROBLEM_CAMPAIGNS", {"part": "part", "campaigns_needing_attention": "found"}) + f"""
+          FROM (SELECT 1 AS part) FULL JOIN (
+            SELECT (position - 1) // {per_row} + 1 AS part, list({problem} ORDER BY position) AS found
+            FROM problems GROUP BY 1) USING (part)""",
         section("TOP_PERFORMERS", {"excellent_campaigns": items(
-            "top_performers", "campaign_name platform country spend conversions cpa cpa_change_pct")}),
+            "top_performers", "campaign_name platform country spend conversions cpa cpa_change_pct",
+            cut={"campaign_name": 80})}),
     ]
     if creatives:
         parts.append(section("CREATIVE_ANALYSIS", {
             "note": "'Meta creative performance analysis included'",
-            "top_creatives": items("creatives", "ad_name creative_concept spend conversions cpa"),
+            "top_creatives": items("creatives", "ad_name creative_concept spend conversions cpa",
+                                   cut={"ad_name": 100, "creative_concept": 50}),
         }))
     return campaign(union(*parts), terms, days, total)
 
@@ -397,7 +431,7 @@ concepts AS (
   FROM ads WHERE creative_concept IS NOT NULL GROUP BY creative_concept
   HAVING SUM(total_spend) >= {min_spend} * 2),
 top_ads AS (
-  SELECT substr(ad_name, 1, 120) AS ad_name, creative_concept AS concept, creative_format AS format,
+  SELECT ad_name, creative_concept AS concept, creative_format AS format,
     creative_creator AS creator, country, {rnd('total_spend', 2)} AS spend,
     total_conversions AS conversions, {rnd('cpa', 2)} AS cpa, {rnd('ctr', 2)} AS ctr,
     {rnd('cvr', 2)} AS cvr,
@@ -442,7 +476,7 @@ def creative_report(label="14d", days=14, countries=COUNTRIES, min_spend=300, so
                 "sorting_note": f"'Sorted by {sort_by}'",
                 "top_performers": items(
                     "top_ads", "ad_name concept format creator country spend conversions cpa ctr cvr rank",
-                    "rank")}),
+                    "rank", {"ad_name": 120})}),
         ),
         days, countries, min_spend, sort_by,
     )
@@ -589,7 +623,7 @@ features AS (
          WHEN spend_current >= {min_spend} AND conversions_current >= {min_conv} THEN 'LOW'
          ELSE 'INSUFFICIENT' END AS confidence_level,
     CAST(CASE WHEN cpa_current > {target()}
-      THEN spend_current - CAST({target()} AS DECIMAL(10,2)) * conversions_current
+      THEN {rnd(f'(cpa_current - {target()}) * conversions_current', 6)}
       ELSE 0 END AS DECIMAL(38,4)) AS excess_cost
   FROM current_period c LEFT JOIN comparison_period USING (campaign_id, platform, country)
   WHERE spend_current >= {impact}),
@@ -621,7 +655,7 @@ top_regions AS (
       OR total_excess_cost >= 1000)
   QUALIFY position <= 10),
 campaign_items AS (
-  SELECT position, substr(campaign, 1, 80) AS campaign_name, platform, country, campaign_objective,
+  SELECT position, campaign AS campaign_name, platform, country, campaign_objective,
     {rnd('spend_current', 2)} AS current_spend, conversions_current AS current_conversions,
     {rnd('cpa_current', 2)} AS current_cpa, target_cpa,
     {rnd('COALESCE(f.cpa_change_pct, 0) * 100', 1)} AS cpa_change_pct,
@@ -668,7 +702,7 @@ def anomaly_report(sensitivity="medium", platforms=REPORT_PLATFORMS, countries=C
             section("CAMPAIGN_ANOMALIES", {"significant_campaign_changes": items(
                 "campaign_items", "campaign_name platform country campaign_objective current_spend "
                 "current_conversions current_cpa target_cpa cpa_change_pct ctr_change_pct cvr_change_pct "
-                "spend_change_pct confidence_level excess_cost anomaly_type")}),
+                "spend_change_pct confidence_level excess_cost anomaly_type", cut={"campaign_name": 80})}),
             section("REGIONAL_ANOMALIES", {"regional_pattern_changes": items(
                 "region_items", "platform country total_spend_current total_conversions_current "
                 "blended_cpa_current blended_cpa_comparison regional_cpa_change_pct campaign_count "
@@ -800,7 +834,7 @@ overall AS (
   FROM shown),
 result_items AS (
   SELECT ROW_NUMBER() OVER (ORDER BY s.opportunity_score DESC, analysis_rank) AS position,
-    substr(campaign, 1, 80) AS campaign_name, region, campaign_type, campaign_category, funnel_stage,
+    campaign AS campaign_name, region, campaign_type, campaign_category, funnel_stage,
     is_brand_campaign, {rnd('total_spend', 2)} AS spend, total_conversions AS conversions,
     {rnd('blended_cpa', 2)} AS cpa, {rnd('weighted_impression_share', 1)} AS impression_share_pct,
     {rnd('weighted_top_impression_share', 1)} AS top_impression_share_pct,
@@ -854,7 +888,8 @@ def impression_report(kind="overview", label="14d", days=14, regions=COUNTRIES,
                 "is_brand_campaign spend conversions cpa impression_share_pct top_impression_share_pct "
                 "absolute_top_share_pct budget_lost_pct rank_lost_pct total_lost_share_pct "
                 "budget_utilization_pct opportunity_type budget_status opportunity_score market_position "
-                "performance_diagnosis additional_budget_needed potential_clicks_from_rank wow_change_pct"),
+                "performance_diagnosis additional_budget_needed potential_clicks_from_rank wow_change_pct",
+                cut={"campaign_name": 80}),
         }),
     ]
     if kind in ("overview", "regional_comparison"):

@@ -24,6 +24,7 @@ ALLOWED_TABLES = ["warehouse.ads.blended_summary", "warehouse.ads.impression_sha
 _QUERIES: dict[str, Query] = {}
 _BUILDS: dict[str, tuple] = {}
 _ORACLES: dict[str, str] = {}
+_MADE: dict[str, tuple] = {}
 
 
 def queries() -> dict[str, Query]:
@@ -54,6 +55,7 @@ def plain(df: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _register(name: str, source, build, oracle: str | None, averages: tuple[str, ...] = ()) -> None:
+    _MADE[name] = (source, build, averages)
     _BUILDS[name] = (source, lambda facts: plain(build(facts), averages))
     _QUERIES[name] = lambda spark, sf_dir: plain(build(source(spark, sf_dir)), averages)
     if oracle:
@@ -68,6 +70,17 @@ def _shares(name: str, build, oracle: str, averages: tuple[str, ...] = ()) -> No
     _register(name, derived.impression_share_report, build, oracle, averages)
 
 
+# ---------------------------------------------------------------- other facts
+
+
+def _of(source, change, names: list[str]) -> None:
+    """Queries once more, over facts of another source."""
+    for name in names:
+        _, build, averages = _MADE[name]
+        suffix = source.__name__.rpartition("_summary_")[2].rpartition("_report_")[2]
+        _register(f"{name}_{suffix}", source, build, change(_ORACLES[name]), averages)
+
+
 # ---------------------------------------------------------------- weekly
 
 _facts("weekly_base", lambda f: weekly.base(f, AS_OF), sql.weekly(sql.doubles("base", "total_spend")))
@@ -118,6 +131,8 @@ _facts("campaign_creatives",
        lambda f: campaign.creatives(f, AS_OF, campaign.match_counts(campaign.matches(f, AS_OF, TERMS))),
        sql.campaign(sql.doubles("creatives", "spend cpa"), TERMS))
 _facts("campaign_report", lambda f: campaign.report(f, AS_OF, TERMS), sql.campaign_report(TERMS))
+_facts("campaign_report_parts", lambda f: campaign.report(f, AS_OF, TERMS, items_per_row=2),
+       sql.campaign_report(TERMS, per_row=2))
 _facts("campaign_report_creatives_mom",
        lambda f: campaign.report(f, AS_OF, ["a"], "month_over_month", True),
        sql.campaign_report(["a"], "month_over_month", 30, 60, True))
@@ -446,25 +461,32 @@ _facts("platform_cpa_pivot",
 
 # ---------------------------------------------------------------- ad-hoc
 
+_WEEKLY_SPEND = sql.with_(sql.BLENDED, select="""
+  SELECT CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE) AS week, platform,
+    CAST(SUM(spend) AS DOUBLE) AS weekly_spend
+  FROM facts WHERE date >= DATE 'SINCE' AND date <= DATE '2024-03-31'
+  GROUP BY 1, 2 ORDER BY 1, 2 NULLS FIRST""")
 _facts("adhoc_weekly_platform_spend",
        lambda f: adhoc.weekly_platform_spend(f, date(2024, 1, 1), date(2024, 3, 31)),
-       sql.with_(sql.BLENDED, select="""
-         SELECT CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE) AS week, platform,
-           CAST(SUM(spend) AS DOUBLE) AS weekly_spend
-         FROM facts WHERE date >= DATE '2024-01-01' AND date <= DATE '2024-03-31'
-         GROUP BY 1, 2 ORDER BY 1, 2 NULLS FIRST LIMIT 20"""))
+       _WEEKLY_SPEND.replace("SINCE", "2024-01-01"))
+_facts("adhoc_weekly_platform_spend_limit",
+       lambda f: adhoc.weekly_platform_spend(f, date(2023, 11, 1), date(2024, 3, 31), 20),
+       _WEEKLY_SPEND.replace("SINCE", "2023-11-01") + " LIMIT 20")
+_facts("adhoc_weekly_platform_spend_all",
+       lambda f: adhoc.weekly_platform_spend(f, date(2023, 11, 1), date(2024, 3, 31)),
+       _WEEKLY_SPEND.replace("SINCE", "2023-11-01"))
 _facts("adhoc_platform_comparison", lambda f: adhoc.platform_comparison(f, AS_OF),
        sql.with_(sql.BLENDED, select=f"""
          SELECT platform, CAST({sql.rnd('AVG(cpa)', 6)} AS DOUBLE) AS avg_cpa,
            {sql.bigint('SUM(conversions)')} AS total_conversions
          FROM facts WHERE {sql.cur(30)} GROUP BY platform
-         ORDER BY AVG(cpa) NULLS FIRST, platform LIMIT 10"""), ("avg_cpa",))
+         ORDER BY AVG(cpa) NULLS FIRST, platform"""), ("avg_cpa",))
 _shares("adhoc_visibility", lambda i: adhoc.visibility(i, AS_OF),
         sql.with_(sql.SHARES, select=f"""
           SELECT region, campaign_type, {sql.mean('search_impression_share_pct')} AS avg_impression_share,
             {sql.mean('budget_lost_impression_share_pct')} AS avg_budget_lost
           FROM facts WHERE {sql.cur(14)} GROUP BY 1, 2
-          ORDER BY 3 DESC, region NULLS FIRST, campaign_type NULLS FIRST LIMIT 15"""))
+          ORDER BY 3 DESC, region NULLS FIRST, campaign_type NULLS FIRST"""))
 _OPPORTUNITY = ["budget_utilization_pct", "budget_lost_impression_share_pct",
                 "rank_lost_impression_share_pct", "estimated_budget_needed_for_lost_impressions"]
 _shares("adhoc_opportunity_rows", lambda i: adhoc.opportunity_rows(i, AS_OF),
@@ -494,8 +516,43 @@ _facts("governed_sql", _governed,
            CAST(SUM(spend) AS DOUBLE) AS spend, {sql.ratio('SUM(spend)', 'SUM(conversions)')} AS cpa
          FROM facts WHERE date >= DATE '2024-01-01' GROUP BY 1, 2"""))
 
+
+def _governed_shares(f: DataFrame) -> DataFrame:
+    f.createOrReplaceTempView("impression_share_report")
+    return adhoc.governed_sql(
+        f.sparkSession,
+        """SELECT region, campaign_type, COUNT(*) AS n, MAX(search_impression_share_pct) AS best,
+                  CASE WHEN SUM(clicks) > 0 THEN 'warehouse.ads.impression_share_report' END AS src
+           FROM warehouse.ads.impression_share_report GROUP BY region, campaign_type""",
+        aliases=dict(zip(ALLOWED_TABLES, ["blended_summary", "impression_share_report"])),
+    )
+
+
+_shares("governed_sql_impressions", _governed_shares,
+        sql.with_(sql.SHARES, select="""
+          SELECT region, campaign_type, COUNT(*) AS n, CAST(MAX(search_impression_share_pct) AS DOUBLE) AS best,
+            CASE WHEN SUM(clicks) > 0 THEN 'warehouse.ads.impression_share_report' END AS src
+          FROM facts GROUP BY 1, 2"""))
+
+
+def _governed_literals(f: DataFrame) -> DataFrame:
+    f.createOrReplaceTempView("blended_summary")
+    return adhoc.governed_sql(
+        f.sparkSession,
+        """SELECT campaign, 'UnresolvedRelation [foo, bar]' AS shown, 'Update 5; DROP TABLE x' AS words, COUNT(*) AS n
+           FROM blended_summary WHERE campaign <> 'Update 5' AND campaign <> 'blended_summary'
+           GROUP BY campaign""")
+
+
+_facts("governed_sql_literals", _governed_literals,
+       sql.with_(sql.BLENDED, select="""
+         SELECT campaign, 'UnresolvedRelation [foo, bar]' AS shown, 'Update 5; DROP TABLE x' AS words, COUNT(*) AS n
+         FROM facts WHERE campaign <> 'Update 5' GROUP BY campaign"""))
+
 # ---------------------------------------------------------------- query guard
 
+# The words and patterns of the rules.
+
 _VERBS = "DROP|CREATE|ALTER|INSERT|UPDATE|DELETE|TRUNCATE"
 _SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
 
@@ -586,3 +643,11 @@ def _generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register("query_guard_audit_sql_texts", _generated_texts, _audit, _guard_sql(
     f"SELECT key AS id, {_TEXT} AS text FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS key FROM orders)"))
+
+# ---------------------------------------------------------------- fractional counts, many keys
+
+
+_of(derived.blended_summary_decimal, sql.decimal_counts, ["weekly_base", "campaign_performance"])
+_of(derived.blended_summary_many_keys, sql.many_keys,
+    ["campaign_performance", "campaign_creatives", "creative_data", "anomaly_features"])
+_of(derived.impression_share_report_many_keys, sql.many_keys, ["impression_base", "impression_ranked"])

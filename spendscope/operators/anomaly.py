@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, top_k
 from spendscope.settings import (
     DEFAULT_COUNTRIES,
@@ -201,7 +201,7 @@ def campaign_section(
     signals = _campaign_signals(sensitivity, settings)
     return significant.select(
         "position",
-        text.shortened(F.col("campaign"), 80).alias("campaign_name"),
+        F.col("campaign").alias("campaign_name"),
         "platform",
         "country",
         "campaign_objective",
@@ -285,7 +285,7 @@ def report(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     """The packed report, all from one evaluation of the campaign features."""
-    campaigns = materialize(
+    campaigns = shared(
         features(facts, as_of, sensitivity, platforms, countries, min_impact_threshold, settings)
     )
     top_campaigns = significant_campaigns(campaigns, sensitivity, settings)
@@ -300,7 +300,7 @@ def report(
         "min_impact_threshold": effective_min_impact(min_impact_threshold),
     }
     counts = summary(top_campaigns, top_regions)
-    return sections.report(
+    packed = sections.report(
         [
             counts.select(
                 *sections.section(
@@ -311,7 +311,9 @@ def report(
             sections.pack(
                 "CAMPAIGN_ANOMALIES",
                 "significant_campaign_changes",
-                campaign_section(top_campaigns, sensitivity, settings),
+                sections.cut(
+                    campaign_section(top_campaigns, sensitivity, settings), campaign_name=80
+                ),
             ),
             sections.pack(
                 "REGIONAL_ANOMALIES",
@@ -320,3 +322,4 @@ def report(
             ),
         ]
     )
+    return released_with(packed, campaigns)

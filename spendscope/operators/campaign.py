@@ -5,11 +5,8 @@ appearance that matches is a row of the result and carries the totals of the who
 id, so an id with m matches counts m times in sums over the rows; in the comparison
 period the sums themselves are m times the id's totals. Ratios are unaffected.
 
-The matches are found first and written once. When they are few, which the operators
-check, their ids are broadcast: the facts of all other campaigns are dropped in the
-scan task and nothing but the matched totals is shuffled. When they are many, the
-facts are aggregated to one row per appearance and the totals per id are a window over
-those rows. Either way the fan-out of facts by matches is never built.
+The facts are aggregated to one row per appearance in one scan, and the totals per id
+are a window over those rows. The fan-out of facts by matches is never built.
 """
 
 from __future__ import annotations
@@ -22,14 +19,11 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import at_most, materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, top_k
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
-# most campaign ids that are sent to every task: a few MB of short strings
-BROADCAST_IDS = 50_000
-
 _KEYS = ["campaign_id", "campaign", "platform", "country"]
 _METRICS = ["spend", "conversions", "clicks", "impressions"]
 
@@ -53,18 +47,6 @@ def matches(
     )
 
 
-def _matched_totals(
-    facts: DataFrame, as_of: date, campaign_names: Sequence[str], comparison_period: str
-) -> DataFrame:
-    """Matching appearances with both periods' totals of their campaign id."""
-    require_columns(facts, ["date", *_KEYS, *_METRICS])
-    found = materialize(matches(facts, as_of, campaign_names, comparison_period))
-    if at_most(found, BROADCAST_IDS):
-        ids = found.select("campaign_id").where("campaign_id IS NOT NULL").distinct()
-        return _totals_of_few(facts, as_of, found, ids, comparison_period)
-    return _totals_of_many(facts, as_of, campaign_names, comparison_period)
-
-
 def _period_sums(as_of: date, comparison_period: str) -> dict[str, Column]:
     current_days, _ = periods.period_days(comparison_period)
     in_current = periods.current(as_of, current_days)
@@ -79,23 +61,11 @@ def _period_sums(as_of: date, comparison_period: str) -> dict[str, Column]:
     }
 
 
-def _totals_of_few(
-    facts: DataFrame, as_of: date, found: DataFrame, ids: DataFrame, comparison_period: str
-) -> DataFrame:
-    _, total_days = periods.period_days(comparison_period)
-    sums = _period_sums(as_of, comparison_period)
-    totals = (
-        facts.where(periods.current(as_of, total_days))
-        .join(F.broadcast(ids), "campaign_id")
-        .groupBy("campaign_id")
-        .agg(*[total.alias(name) for name, total in sums.items()])
-    )
-    return found.join(F.broadcast(totals), "campaign_id")
-
-
-def _totals_of_many(
+def _matched_totals(
     facts: DataFrame, as_of: date, campaign_names: Sequence[str], comparison_period: str
 ) -> DataFrame:
+    """Matching appearances with both periods' totals of their campaign id."""
+    require_columns(facts, ["date", *_KEYS, *_METRICS])
     _, total_days = periods.period_days(comparison_period)
     sums = _period_sums(as_of, comparison_period)
     of_id = Window.partitionBy("campaign_id")
@@ -211,7 +181,7 @@ def problems(performance: DataFrame, settings: Settings = SETTINGS) -> DataFrame
     return performance.where((F.col("performance_rating") == "NEEDS_ATTENTION") | costly).select(
         *_KEYS,
         "spend_current",
-        text.shortened(F.col("campaign"), 80).alias("campaign_name"),
+        F.col("campaign").alias("campaign_name"),
         kpi.rounded(F.col("spend_current"), 2).alias("current_spend"),
         F.col("conversions_current").alias("current_conversions"),
         kpi.rounded(F.col("cpa_current"), 2).alias("current_cpa"),
@@ -227,7 +197,7 @@ def top_performers(performance: DataFrame, settings: Settings = SETTINGS) -> Dat
     )
     return top_k(good, [F.desc("spend_current"), *ascending(*_KEYS)], settings.top_performers).select(
         "position",
-        text.shortened(F.col("campaign"), 80).alias("campaign_name"),
+        F.col("campaign").alias("campaign_name"),
         "platform",
         "country",
         kpi.rounded(F.col("spend_current"), 2).alias("spend"),
@@ -254,24 +224,18 @@ def creatives(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     """Cheapest Meta creatives of the matched campaigns; spend and conversions count
-    once per match of their campaign. Few campaigns are broadcast, so that only their
-    ads are shuffled; for many, the ads are aggregated before the join."""
+    once per match of their campaign. The ads are aggregated before the join with the
+    matches, which adaptive execution broadcasts if their measured size allows."""
     current_days, _ = periods.period_days(comparison_period)
     spend, conversions = F.col("creative_spend"), F.col("creative_conversions")
-    counts = materialize(counts)
-    rows = (
+    ads = (
         require_columns(facts, ["date", "platform", "campaign_id", "ad_name", "spend", "conversions"])
         .where(periods.current(as_of, current_days))
         .where((F.col("platform") == "Meta") & F.col("ad_name").isNotNull())
-    )
-    sums = [F.sum(m).alias(m) for m in ("spend", "conversions")]
-    if at_most(counts, BROADCAST_IDS):
-        matched = rows.join(F.broadcast(counts), "campaign_id")
-        ads = matched.groupBy("campaign_id", "match_count", "ad_name").agg(*sums)
-    else:
-        ads = rows.groupBy("campaign_id", "ad_name").agg(*sums).join(counts, "campaign_id")
-    ads = (
-        ads.select(
+        .groupBy("campaign_id", "ad_name")
+        .agg(*[F.sum(m).alias(m) for m in ("spend", "conversions")])
+        .join(counts, "campaign_id")
+        .select(
             "ad_name",
             "campaign_id",
             (F.col("spend") * F.col("match_count")).alias("creative_spend"),
@@ -285,8 +249,8 @@ def creatives(
     first_part = F.get(F.split(F.col("ad_name"), text.NAME_SEPARATOR), F.lit(0))
     return top_k(ads, order, settings.campaign_creatives).select(
         "position",
-        text.shortened(F.col("ad_name"), 100).alias("ad_name"),
-        text.shortened(first_part, 50).alias("creative_concept"),
+        "ad_name",
+        first_part.alias("creative_concept"),
         kpi.rounded(spend, 2).alias("spend"),
         conversions.alias("conversions"),
         kpi.rounded(F.col("creative_cpa"), 2).alias("cpa"),
@@ -300,10 +264,11 @@ def report(
     comparison_period: str = "week_over_week",
     include_creatives: bool = False,
     settings: Settings = SETTINGS,
+    items_per_row: int = sections.ITEMS_PER_ROW,
 ) -> DataFrame:
-    """The packed report: one scan to find the matches, one for their totals and, if
-    asked for, one for their creatives."""
-    matched = materialize(performance(facts, as_of, campaign_names, comparison_period, settings))
+    """The packed report: one scan for the matches and their totals and, if asked for,
+    one for their creatives. Problem campaigns come in parts of ``items_per_row``."""
+    matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings))
     current_days, _ = periods.period_days(comparison_period)
     names = {c: c for c in ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")}
     summary = executive_summary(matched).select(
@@ -329,19 +294,27 @@ def report(
     ]
     packed = [
         summary,
-        sections.pack_unbounded(
+        sections.pack_parts(
             "PROBLEM_CAMPAIGNS",
             "campaigns_needing_attention",
-            problems(matched, settings),
+            sections.cut(problems(matched, settings), campaign_name=80),
             [F.desc("spend_current"), *ascending(*_KEYS)],
             problem_columns,
+            items_per_row,
+        ),
+        sections.pack(
+            "TOP_PERFORMERS",
+            "excellent_campaigns",
+            sections.cut(top_performers(matched, settings), campaign_name=80),
         ),
-        sections.pack("TOP_PERFORMERS", "excellent_campaigns", top_performers(matched, settings)),
     ]
     if include_creatives:
         # a creative with current rows belongs to a campaign with current rows, so
-        # counting the materialized matches is enough
-        ads = creatives(facts, as_of, match_counts(matched), comparison_period, settings)
+        # counting the shared matches is enough
+        ads = sections.cut(
+            creatives(facts, as_of, match_counts(matched), comparison_period, settings),
+            ad_name=100, creative_concept=50,
+        )
         note = {"note": "Meta creative performance analysis included"}
         packed.append(sections.pack("CREATIVE_ANALYSIS", "top_creatives", ads, note))
-    return sections.report(packed)
+    return released_with(sections.report(packed), matched)

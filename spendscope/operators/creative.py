@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
@@ -99,7 +99,7 @@ def top_ads(ads: DataFrame, sort_by: str = "cpa", settings: Settings = SETTINGS)
     }[params.choice(sort_by, SORT_KEYS, "sort_by")]
     ties = ascending("ad_id", "ad_name", "country")
     return top_k(ads, [order, *ties], settings.top_ads, "rank").select(
-        text.shortened(F.col("ad_name"), 120).alias("ad_name"),
+        "ad_name",
         F.col("creative_concept").alias("concept"),
         F.col("creative_format").alias("format"),
         F.col("creative_creator").alias("creator"),
@@ -173,9 +173,9 @@ def report(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     """The packed report: one scan of the facts, then sections of the ads kept."""
-    ads = materialize(data(facts, as_of, date_range, countries, min_spend, settings))
+    ads = shared(data(facts, as_of, date_range, countries, min_spend, settings))
     concepts = concept_summary(ads, min_spend, settings)
-    return sections.report(
+    packed = sections.report(
         [
             overview(ads, concepts, date_range, countries, min_spend, sort_by),
             sections.pack(
@@ -184,8 +184,11 @@ def report(
             sections.pack(
                 "TOP_INDIVIDUAL_ADS",
                 "top_performers",
-                top_ads(ads, sort_by, settings).withColumn("position", F.col("rank")),
+                sections.cut(top_ads(ads, sort_by, settings), ad_name=120).withColumn(
+                    "position", F.col("rank")
+                ),
                 {"sorting_note": f"Sorted by {sort_by}"},
             ),
         ]
     )
+    return released_with(packed, ads)

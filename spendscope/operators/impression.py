@@ -5,12 +5,12 @@ from __future__ import annotations
 from datetime import date
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, global_rank, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
@@ -60,14 +60,9 @@ def base(
     include_brand_campaigns: bool = True,
     min_spend_threshold: float = 500,
     settings: Settings = SETTINGS,
-    approximate_modes: bool = False,
 ) -> DataFrame:
     """Campaigns per region with weighted shares and their most frequent position and
-    diagnosis (NULL counts as a value, the lowest value wins a tie).
-
-    ``approximate_modes`` takes the frequent labels from a sketch, for labels with so
-    many values that counting each of them is not worth it.
-    """
+    diagnosis (NULL counts as a value, the lowest value wins a tie)."""
     needed = ["date", *_KEYS, *_SUMS.values(), *_MEANS.values(), *_MODES.values()]
     needed += [p for p, _ in _SHARES.values()]
     rows = (
@@ -79,9 +74,8 @@ def base(
     )
     if not include_brand_campaigns:
         rows = rows.where(~F.coalesce(F.col("is_brand_campaign"), F.lit(False)))
-    sums = _with_sketched_modes(rows) if approximate_modes else _with_exact_modes(rows)
     return (
-        sums.where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
+        _with_modes(rows).where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
         .where(F.col("total_clicks") >= settings.min_clicks)
         .select(
             *_KEYS,
@@ -112,36 +106,34 @@ def _additive() -> dict[str, Column]:
     }
 
 
-def _with_exact_modes(rows: DataFrame) -> DataFrame:
-    """The first aggregation also groups by the two label columns, so one hash aggregate
-    yields additive sums and label counts at once. The label windows and the final
-    aggregation share one partitioning by campaign, over rows already aggregated."""
+def _with_modes(rows: DataFrame) -> DataFrame:
+    """One hash aggregate over the facts gives additive sums and the count of each pair of
+    labels. Its rows are then dealt three ways: once with the sums, and once for each
+    label column with the counts. Every step is an aggregate with partial sums, so a
+    campaign with many labels is split over tasks until one row per task is left."""
     additive = _additive()
     by_label = rows.groupBy(*_KEYS, *_MODES.values()).agg(
         F.count("*").alias("n"), *[total.alias(name) for name, total in additive.items()]
     )
-    with_label_counts = by_label.repartition(*_KEYS).withColumns(
-        {
-            f"n_{label}": F.sum("n").over(Window.partitionBy(*_KEYS, label))
-            for label in _MODES.values()
-        }
+    ways = [(None, None), *_MODES.items()]
+    dealt = by_label.withColumn("way", F.explode(F.array(*[F.lit(i) for i in range(len(ways))])))
+    label = F.lit(None).cast("string")
+    for i, (_, column) in enumerate(ways[1:], 1):
+        label = F.when(F.col("way") == i, F.col(column)).otherwise(label)
+    counted = dealt.groupBy(*_KEYS, "way", label.alias("label")).agg(
+        F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("way") == 0, F.col(name))).alias(name) for name in additive],
     )
-    return with_label_counts.groupBy(*_KEYS).agg(
+    first = F.struct(-F.col("n"), F.col("label"))
+    return counted.groupBy(*_KEYS).agg(
         *[F.sum(name).alias(name) for name in additive],
         *[
-            F.min_by(label, F.struct(-F.col(f"n_{label}"), F.col(label))).alias(name)
-            for name, label in _MODES.items()
+            F.min_by("label", F.when(F.col("way") == i, first)).alias(name)
+            for i, (name, _) in enumerate(ways[1:], 1)
         ],
     )
 
 
-def _with_sketched_modes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*_KEYS).agg(
-        *[total.alias(name) for name, total in _additive().items()],
-        *[F.expr(f"approx_top_k({label}, 1)[0].item").alias(name) for name, label in _MODES.items()],
-    )
-
-
 def classified(campaigns: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     budget, rank = F.col("weighted_budget_lost"), F.col("weighted_rank_lost")
     market = F.col("total_market_size")
@@ -259,7 +251,7 @@ def results(shown: DataFrame) -> DataFrame:
 
     return numbered(shown, order).select(
         "position",
-        text.shortened(F.col("campaign"), 80).alias("campaign_name"),
+        F.col("campaign").alias("campaign_name"),
         "region",
         "campaign_type",
         "campaign_category",
@@ -356,7 +348,7 @@ def report(
     campaigns = base(
         facts, as_of, date_range, regions, include_brand_campaigns, min_spend_threshold, settings
     )
-    shown = materialize(
+    shown = shared(
         limited(classified(campaigns, settings), analysis_type, min_spend_threshold, settings)
     )
     header = {
@@ -371,7 +363,7 @@ def report(
         sections.pack(
             f"{analysis_type.upper()}_RESULTS",
             "campaigns",
-            results(shown),
+            sections.cut(results(shown), campaign_name=80),
             {"analysis_focus": analysis_type},
         ),
     ]
@@ -383,4 +375,4 @@ def report(
                 regional_section(regional(shown, settings)),
             )
         )
-    return sections.report(packed)
+    return released_with(sections.report(packed), shown)

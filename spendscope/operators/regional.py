@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import numbered
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
@@ -123,15 +123,12 @@ def performance(
     if include_trends:
         segments = _both_periods(facts, as_of, platforms, date_range)
     else:
-        nothing = {
-            "spend_previous": "decimal(28,2)",
-            "conversions_previous": "bigint",
-            "cpa_previous": "double",
-            "cpa_change_pct": "decimal(31,1)",
-        }
-        segments = current(facts, as_of, platforms, date_range).withColumns(
-            {name: F.lit(None).cast(dtype) for name, dtype in nothing.items()}
-        )
+        segments = current(facts, as_of, platforms, date_range)
+        for name in ("spend", "conversions", "cpa"):
+            same_type = segments.schema[f"{name}_current"].dataType
+            segments = segments.withColumn(f"{name}_previous", F.lit(None).cast(same_type))
+        change = kpi.pct_change(F.col("cpa_current"), F.col("cpa_previous"))
+        segments = segments.withColumn("cpa_change_pct", change)
     return segments.where(F.col("spend_current") >= settings.min_segment_spend).select(
         *_KEYS,
         "spend_current",
@@ -264,7 +261,7 @@ def report(
     """The packed report. All three sections always appear; of the two comparisons the
     one not asked for has a NULL array."""
     params.choice(comparison_type, COMPARISON_TYPES, "comparison_type")
-    segments = materialize(
+    segments = shared(
         performance(facts, as_of, platforms, date_range, include_trends, settings)
     )
     ranked = country_ranked(country_summary(segments, settings))
@@ -281,7 +278,7 @@ def report(
         "trend_analysis_included": include_trends,
     }
     findings = insights(ranked, include_trends, settings)
-    return sections.report(
+    packed = sections.report(
         [
             sections.pack("COUNTRY_COMPARISON", "country_performance", by_country, header),
             sections.pack(
@@ -298,3 +295,4 @@ def report(
             ),
         ]
     )
+    return released_with(packed, segments)

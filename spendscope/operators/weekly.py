@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
-from spendscope.plans.materialize import materialize
+from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, numbered, top_k
 from spendscope.settings import DEFAULT_COUNTRIES, REPORT_PLATFORMS, SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
@@ -151,13 +151,13 @@ def report(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     """The packed report: one scan of the facts, then four sections of its segments."""
-    segments = materialize(base(facts, as_of, date_range, platforms, countries, settings))
+    segments = shared(base(facts, as_of, date_range, platforms, countries, settings))
     header = {
         "analysis_period": params.window_label(date_range, periods.range_days(date_range)),
         "platforms_analyzed": params.platforms(platforms),
         "countries_analyzed": params.names(countries, "countries"),
     }
-    return sections.report(
+    packed = sections.report(
         [
             sections.pack(
                 "PLATFORM_OVERVIEW",
@@ -172,3 +172,4 @@ def report(
             ),
         ]
     )
+    return released_with(packed, segments)

@@ -1,52 +1,33 @@
-"""Cutting a plan at a small aggregate that several report sections share.
+"""Computing a small aggregate once that several report sections share.
 
 A report derives three or four sections from one aggregate of the fact table. As
 one lazy plan each section would prune different columns of that aggregate, the
 shuffles would no longer be equal, and the fact table would be scanned once per
-section. Instead the aggregate is written once to the reliable checkpoint folder:
-one scan, and a lost executor costs nothing that was already written.
+section. Instead the aggregate is persisted when the report first runs: one scan,
+and what an executor loses is computed again from its lineage. Nothing runs while
+the plan is built, and no folder is needed.
 """
 
 from __future__ import annotations
 
-import tempfile
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_KEY = "spark.checkpoint.dir"
-_local_folder: tempfile.TemporaryDirectory | None = None
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df``, computed once by whatever runs first on it."""
+    return df.persist()
 
-def checkpoint_dir_ready(spark: SparkSession) -> bool:
-    """Whether checkpoints have a folder that every executor can reach."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return True
-    folder = spark.conf.get(_KEY, None)
-    if not folder and context.master.startswith("local"):
-        # one machine: its own folder is shared by definition; gone when Python exits
-        global _local_folder
-        _local_folder = tempfile.TemporaryDirectory(
-            prefix="spendscope-checkpoint-", ignore_cleanup_errors=True
-        )
-        folder = _local_folder.name
-    if folder:
-        context.setCheckpointDir(folder)
-    return bool(folder)
 
+def released_with(result: DataFrame, *parts: DataFrame) -> DataFrame:
+    """``result``; its shared ``parts`` are dropped from memory and disk when Python lets
+    go of it. A frame derived from it still gives the same rows, with more scans."""
+    for part in parts:
+        weakref.finalize(result, _drop, part).atexit = False
+    return result
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df``. Without a shared folder it stays lazy: same rows, more scans."""
-    return df.checkpoint() if checkpoint_dir_ready(df.sparkSession) else df
 
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows. Ask it of a materialized frame."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def materialize_strict(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` where a second evaluation might differ from the first."""
-    if not checkpoint_dir_ready(df.sparkSession):
-        raise RuntimeError(f"set {_KEY} to a folder that all executors share")
-    return df.checkpoint()
+def _drop(part: DataFrame) -> None:
+    if part.sparkSession.sparkContext._jsc is not None:
+        part.unpersist()

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendscope.plans.materialize import materialize_strict
+from spendscope.plans.materialize import shared
 
 
 def ascending(*columns: str) -> list[Column]:
@@ -31,24 +31,23 @@ def global_rank(df: DataFrame, order: Sequence[Column], position: str = "positio
     """Row numbers over a frame of any size, without moving it to one task.
 
     The rows are range-partitioned by ``order``, which should end in a unique key so
-    that a heavy value still splits. Each row gets its number within its partition
-    plus the size of the partitions before; that offset table has one row per
-    partition, so it is broadcast.
+    that a heavy value still splits, and persisted: one shuffle. A row's number is its
+    place in its partition plus the size of the partitions before; that offset table has
+    one row per partition, so it is broadcast. The persisted rows stay until the caller
+    drops them (``spark.catalog.clearCache()``) or the session ends.
     """
-    ranges = materialize_strict(
-        df.orderBy(*order).withColumn("_range", F.spark_partition_id())
-    )
-    offsets = ranges.groupBy("_range").count().select(
-        "_range",
+    ranges = shared(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    offsets = ranges.groupBy(part.alias("_part")).count().select(
+        F.col("_part").alias("_range"),
         F.coalesce(
-            F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         ).alias("_offset"),
     )
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        ranges.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(position, F.col("_within") + F.col("_offset"))
-        .drop("_range", "_within", "_offset")
+        ranges.join(F.broadcast(offsets), part == F.col("_range"))
+        .withColumn(position, within + F.col("_offset"))
+        .drop("_id", "_range", "_offset")
     )

@@ -8,11 +8,12 @@ from typing import Any, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.plans.materialize import at_most
-from spendscope.plans.ranking import global_rank, numbered
+from spendscope.functions import text
+from spendscope.plans.ranking import global_rank
 
 _WITH_NULLS = {"ignoreNullFields": "false"}
 
+# items of an open-ended section in one row; a row stays at a few MB
 ITEMS_PER_ROW = 10_000
 
 
@@ -61,7 +62,7 @@ def pack(
     ).select(*section(name, F.col("summary_data")))
 
 
-def pack_unbounded(
+def pack_parts(
     name: str,
     array: str,
     rows: DataFrame,
@@ -69,27 +70,30 @@ def pack_unbounded(
     columns: Sequence[str],
     items_per_row: int = ITEMS_PER_ROW,
 ) -> DataFrame:
-    """A section that may hold any number of items.
+    """A section that may hold any number of items, as rows numbered by ``part`` from 1.
 
-    Up to ``items_per_row`` items give one row, as every other section does. Beyond
-    that no single task could hold the array, so the items come as several rows of
-    the same section, numbered by ``part``, with nothing left out.
+    No task could hold an open-ended array, so every ``items_per_row`` items, in order,
+    make a row of the section. Without items the section is still there: part 1 with a
+    NULL array.
     """
-    few = at_most(rows, items_per_row)
-    ranked = numbered(rows, order, "rank") if few else global_rank(rows, order, "rank")
-    items = {array: ordered_items(ranked, "rank", columns)}
-    if few:
-        packed = ranked.agg(json_object(items).alias("summary_data"))
-    else:
-        packed = (
-            ranked.withColumn("part", F.floor((F.col("rank") - 1) / items_per_row) + 1)
-            .groupBy("part")
-            .agg(json_struct(items).alias("items"))
-            .select(json_object({"part": F.col("part"), array: F.col("items")[array]}).alias("summary_data"))
-        )
-    return packed.select(*section(name, F.col("summary_data")))
+    ranked = global_rank(rows, order, "rank")
+    parts = (
+        ranked.withColumn("part", F.expr(f"(rank - 1) div {items_per_row} + 1"))
+        .groupBy("part")
+        .agg(ordered_items(ranked, "rank", columns).alias("items"))
+    )
+    first = rows.sparkSession.range(1, 2).select(F.col("id").alias("part"))
+    return first.join(parts, "part", "full").select(
+        *section(name, json_object({"part": F.col("part"), array: F.col("items")}))
+    )
+
+
+def cut(rows: DataFrame, **lengths: int) -> DataFrame:
+    """Long names shortened for the JSON; typed frames hold them whole."""
+    return rows.withColumns({c: text.shortened(F.col(c), n) for c, n in lengths.items()})
 
 
 def report(sections: Sequence[DataFrame]) -> DataFrame:
-    """All sections in order of their name."""
-    return reduce(DataFrame.unionByName, sections).orderBy("section")
+    """All sections in order of their name, a section's parts in order of their number."""
+    part = F.get_json_object("summary_data", "$.part").cast("long")
+    return reduce(DataFrame.unionByName, sections).orderBy("section", F.asc_nulls_first(part))

@@ -1,5 +1,6 @@
 """Ranking, packing and shared aggregates."""
 
+import gc
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from spendscope.plans import params, ranking, sections
-from spendscope.plans.materialize import checkpoint_dir_ready, materialize
+from spendscope.plans.materialize import released_with, shared
 
 
 def test_global_rank_equals_a_sort_even_when_a_third_of_rows_tie(spark):
@@ -40,18 +41,18 @@ def test_pack_orders_items_keeps_nulls_and_survives_no_rows(spark):
 
 
 @pytest.mark.parametrize("per_row", [10_000, 10, 25, 7])
-def test_unbounded_section_holds_every_item_in_order(spark, per_row):
+def test_section_in_parts_holds_every_item_in_order(spark, per_row):
     rows = spark.range(25).withColumn("double", F.col("id") * 2)
-    packed = sections.pack_unbounded("S", "items", rows, [F.desc("id")], ["id", "double"], per_row).collect()
-    parts = sorted((json.loads(r["summary_data"]) for r in packed), key=lambda p: p.get("part", 1))
-    assert len(parts) == (1 if per_row >= 25 else -(-25 // per_row))
+    packed = sections.pack_parts("S", "items", rows, [F.desc("id")], ["id", "double"], per_row).collect()
+    parts = sorted((json.loads(r["summary_data"]) for r in packed), key=lambda p: p["part"])
+    assert [p["part"] for p in parts] == list(range(1, -(-25 // per_row) + 1))
     assert [i["id"] for p in parts for i in p["items"]] == list(range(24, -1, -1))
     assert all(len(p["items"]) <= per_row for p in parts)
 
 
-def test_unbounded_section_without_rows(spark):
-    (row,) = sections.pack_unbounded("S", "items", spark.range(0), [F.asc("id")], ["id"]).collect()
-    assert row["summary_data"] == '{"items":null}'
+def test_section_in_parts_without_rows(spark):
+    (row,) = sections.pack_parts("S", "items", spark.range(0), [F.asc("id")], ["id"]).collect()
+    assert row["summary_data"] == '{"part":1,"items":null}'
 
 
 def test_report_is_ordered_by_section(spark):
@@ -61,36 +62,15 @@ def test_report_is_ordered_by_section(spark):
     assert [r["section"] for r in sections.report([one("C"), one("A"), one("B")]).collect()] == ["A", "B", "C"]
 
 
-def test_materialize_cuts_the_plan(spark):
-    assert checkpoint_dir_ready(spark)
-    df = materialize(spark.range(10).where("id > 3"))
-    assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
-    assert df.count() == 6
-
-
-def test_checkpoint_folder_of_the_session_is_used():
-    from spendscope.plans import materialize as module
-
-    class Context:
-        master, folder = "spark://cluster:7077", None
-
-        def getCheckpointDir(self):
-            return self.folder
-
-        def setCheckpointDir(self, folder):
-            self.folder = folder
-
-    class Session:
-        def __init__(self, conf):
-            self.sparkContext, self.conf = Context(), conf
-
-    session = Session({"spark.checkpoint.dir": "hdfs:///shared"})
-    assert module.checkpoint_dir_ready(session)
-    assert session.sparkContext.folder == "hdfs:///shared"
-    # no folder named on a cluster: none is invented
-    session = Session({})
-    assert not module.checkpoint_dir_ready(session)
-    assert session.sparkContext.folder is None
+def test_shared_rows_go_with_the_result(spark):
+    part = shared(spark.range(10).where("id > 3"))
+    result = released_with(part.groupBy().count(), part)
+    derived = result.where("count > 0")
+    assert part.storageLevel.useMemory and result.collect()[0][0] == 6
+    del result
+    gc.collect()
+    assert not part.storageLevel.useMemory
+    assert derived.collect()[0][0] == 6
 
 
 def test_parameters():
