@@ -51,8 +51,8 @@ class Grams:
         self.letter[:] = [chr(c).isalpha() for c in range(0x110000)]
 
     def pieces(self, texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-        """Texts in chunks of bounded length; a longer text comes in several pieces,
-        each with the n-grams that start in it."""
+        """Texts in chunks of bounded length; a longer text comes in several pieces, each
+        with the n-grams that start in its first ``chunk`` characters."""
         owners, parts, size = [], [], 0
         for i, text in enumerate(texts):
             text = (text or "").lower()
@@ -71,7 +71,8 @@ class Grams:
         """Starts of the parts, buckets by n-gram length (rows), letters per part."""
         gap = "\x00" * _ORDERS
         codes = np.frombuffer((gap.join(parts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        starts = np.cumsum([0] + [len(p) + _ORDERS for p in parts[:-1]])
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes + _ORDERS) - sizes - _ORDERS
         letters = self.letter[codes]
         codes = np.where(letters, codes, np.uint32(32))
         counts = np.add.reduceat(letters, starts, dtype=np.int64)
@@ -82,11 +83,10 @@ class Grams:
             end = len(codes) - n
             mixed[:end] = (mixed[:end] ^ codes[n:]) * _MULTIPLIERS[n]
             seen[:end] |= letters[n:]
-            mixed[end:] = 0
-            seen[end:] = False
             found[n] = np.where(seen, (mixed ^ (mixed >> np.uint32(15))) & np.uint32(self.buckets - 1), self.buckets)
-        gaps = (starts[1:, None] - 1 - np.arange(_ORDERS)).ravel()
-        found[:, gaps] = self.buckets
+            # no n-gram starts where it would leave its part, or in the next piece
+            for first, last in zip(starts + np.minimum(np.maximum(sizes - n, 0), self.chunk), starts + sizes + _ORDERS):
+                found[n, first:last] = self.buckets
         return starts, found, counts
 
 
