@@ -182,6 +182,13 @@ def redact(text: str | None, found: list[Span]) -> str | None:
     return "".join(out) + text[done:]
 
 
+def scrubbed(text: str | None, rules: Rules = Rules()) -> str | None:
+    """The text without any span: what a replaced neighbour uncovers is replaced too."""
+    while found := find(text, rules):
+        text = redact(text, found)
+    return text
+
+
 def redacted(docs: DataFrame, rules: Rules = Rules(), text: str = "text", length: str = "n_chars") -> DataFrame:
     """All rows and columns, personal data in ``text`` replaced by placeholders; a column
     ``length``, if there, is set to the new number of characters of changed texts."""
@@ -189,7 +196,7 @@ def redacted(docs: DataFrame, rules: Rules = Rules(), text: str = "text", length
     def run(incoming):
         for batch in incoming:
             texts = batch.column(text).to_pylist()
-            new = [redact(t, find(t, rules)) for t in texts]
+            new = [scrubbed(t, rules) for t in texts]
             at = batch.schema.get_field_index(text)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
             if (at := batch.schema.get_field_index(length)) >= 0:
