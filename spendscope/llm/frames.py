@@ -59,6 +59,17 @@ def sampled(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < int(parts * bound / total))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

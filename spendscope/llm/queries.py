@@ -23,7 +23,8 @@ def tokenizer_path() -> str:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = frames.read(spark, sf_dir, "documents"), frames.read(spark, sf_dir, "labels")
-    learn = docs.where(frames.remainder("doc_id", 5) != 0).join(labels.select("doc_id", "quality"), "doc_id")
+    learn = docs.where(frames.remainder("doc_id", 5) != 0).select("doc_id", "text", "n_chars").join(
+        labels.select("doc_id", "quality"), "doc_id")
     scored = quality.scores(docs, quality.fit(learn))
     return scored.select(
         "doc_id", F.coalesce(frames.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",

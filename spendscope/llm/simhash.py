@@ -163,26 +163,27 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", limit
     are only filtered by key.
     """
     found = _components(docs, text, key, limit)
+    own, mark, other = frames.unused(docs, "_own", "_fp", "_other")
     stay = found.where(F.col(key).eqNullSafe(F.col("component_id")))
     counted = frames.checkpointed(
-        stay.groupBy(F.col(key).alias("_stay")).agg(F.count("*").alias("_n"), F.collect_set(F.struct("fp", "root")).alias("_of")))
-    single = counted.where("_stay IS NOT NULL AND _n = 1").select("_stay")
-    rows = docs.join(single, F.col(key) == F.col("_stay"), "left_semi")
-    several = counted.where("_stay IS NULL OR _n > 1")
-    again = docs.join(several.select("_stay"), F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    roots = several.select(F.col("_stay").alias("_key"), F.explode("_of").alias("_pair")).select(
-        "_key", F.col("_pair.fp").alias("_print"), F.col("_pair.root").alias("_root"))
-    marked = _with_print(again, text).join(roots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_print")))
-    kept = marked.dropDuplicates([key, "_root"]).select(*docs.columns)
+        stay.groupBy(F.col(key).alias(own)).agg(F.count("*").alias("n"), F.collect_set(F.struct("fp", "root")).alias("prints")))
+    single = counted.where(F.col(own).isNotNull() & (F.col("n") == 1)).select(own)
+    rows = docs.join(single, F.col(key) == F.col(own), "left_semi")
+    several = counted.where(F.col(own).isNull() | (F.col("n") > 1))
+    again = docs.join(several.select(own), F.col(key).eqNullSafe(F.col(own)), "left_semi")
+    roots = several.select(own, F.explode("prints").alias("p")).select(own, F.struct("p.fp", "p.root").alias(other))
+    marked = _with_print(again, text, mark).join(
+        roots, F.col(key).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other)["fp"]))
+    kept = marked.withColumn(mark, F.col(other)["root"]).dropDuplicates([key, mark]).select(*docs.columns)
     return rows.unionByName(kept)
 
 
-def _with_print(docs: DataFrame, text: str) -> DataFrame:
-    """All columns, and the fingerprint as ``_fp``."""
+def _with_print(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """All columns, and the fingerprint as ``name``."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             values = np.array([fingerprint(t) for t in frames.utf8(batch.column(text))], dtype=np.uint64)
-            yield batch.append_column("_fp", pa.array(values.view(np.int64)))
+            yield batch.append_column(name, pa.array(values.view(np.int64)))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
