@@ -122,17 +122,19 @@ def together(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shape: Shape, rank: int = 8, epochs: int = 8,
-          batch: int = 128, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Adam on the logistic loss."""
+          batch: int = 128, rate: float = 0.02, decay: float = 1e-5, seed: int = 7, least_steps: int = 600) -> Model:
+    """Adam on the logistic loss; few rows are gone through more often, for ``least_steps``."""
     rng = np.random.default_rng(seed)
     n = shape.size
+    if not len(rows):
+        return Model(shape, 0.0, np.zeros(n, dtype=np.float32), np.zeros((n, rank), dtype=np.float32))
     params = [np.zeros(1), np.zeros(n, dtype=np.float32), rng.normal(0, 0.05, (n, rank)).astype(np.float32)]
-    if len(rows):
-        share = float(np.clip(labels.mean(), 0.01, 0.99))
-        params[0][0] = math.log(share / (1 - share))
+    share = float(np.clip(labels.mean(), 0.01, 0.99))
+    params[0][0] = math.log(share / (1 - share))
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     step = 0
+    epochs = max(epochs, -(-least_steps * batch // len(rows)))
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
