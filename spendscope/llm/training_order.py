@@ -143,8 +143,8 @@ def ordered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048,
         indexed.withColumn("slot", slot("index"))
         .select("slot", F.expr(f"slot div {shard_rows}").alias("shard"), (F.col("slot") % shard_rows).alias("record"),
                 "index", "first_id", "n_tokens", "payload")
-        .repartitionByRange(min(shards, 2000), "shard")
-        .sortWithinPartitions("slot")
+        .repartitionByRange(min(2 * shards, 4000), "shard")
+        .sortWithinPartitions("shard", "slot")
     )
 
 
