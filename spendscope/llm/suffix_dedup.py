@@ -500,7 +500,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame |
     return rows.join(ranks.select("row", "doc"), "row").select("doc", "text"), ranks.select("doc", "key")
 
 
-def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = 12 << 20,
+def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = 6 << 20,
             hot: int = 16_384) -> DataFrame:
     """``key``, ``n_bytes``, ``spans`` (the removed runs of bytes) and ``kept`` (what is left,
     as bytes) of every row."""
