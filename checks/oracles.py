@@ -192,6 +192,14 @@ def section(name: str, fields: dict[str, str]) -> str:
     return f"SELECT '{name}' AS section, CAST(to_json({{{body}}}) AS VARCHAR) AS summary_data"
 
 
+def parts_of(name: str, fields: dict[str, str], array: str, found: str, table: str, per_row: int) -> str:
+    """A section in numbered parts: ``found`` is an item of ``table``, ordered by position."""
+    return section(name, {**fields, "part": "part", array: "found"}) + f"""
+      FROM (SELECT 1 AS part) FULL JOIN (
+        SELECT (position - 1) // {per_row} + 1 AS part, list({found} ORDER BY position) AS found
+        FROM {table} GROUP BY 1) USING (part)"""
+
+
 def union(*parts: str) -> str:
     return "\nUNION ALL\n".join(parts) + "\nORDER BY section"
 
@@ -382,10 +390,7 @@ def campaign_report(terms, label="week_over_week", days=7, total=14, creatives=F
             "platform_breakdown": "{" + ", ".join(
                 f"'{c}': {c}" for c in "meta google tiktok other".split()) + "}",
         }) + " FROM summary",
-        section("PROBLEM_CAMPAIGNS", {"part": "part", "campaigns_needing_attention": "found"}) + f"""
-          FROM (SELECT 1 AS part) FULL JOIN (
-            SELECT (position - 1) // {per_row} + 1 AS part, list({problem} ORDER BY position) AS found
-            FROM problems GROUP BY 1) USING (part)""",
+        parts_of("PROBLEM_CAMPAIGNS", {}, "campaigns_needing_attention", problem, "problems", per_row),
         section("TOP_PERFORMERS", {"excellent_campaigns": items(
             "top_performers", "campaign_name platform country spend conversions cpa cpa_change_pct",
             cut={"campaign_name": 80})}),
@@ -558,23 +563,26 @@ def regional_insights(trends=True) -> str:
       'total_countries_analyzed': (SELECT COUNT(*) FROM ranked)}}"""})
 
 
-def regional_report(platforms=("Meta", "Google"), kind="country", label="14d", days=14, trends=True) -> str:
-    country_items = items(
-        "country_items", "country total_spend total_conversions blended_cpa avg_ctr total_campaigns "
+def regional_report(platforms=("Meta", "Google"), kind="country", label="14d", days=14, trends=True,
+                    per_row=10_000) -> str:
+    country_item = item(
+        "country total_spend total_conversions blended_cpa avg_ctr total_campaigns "
         "active_platforms avg_cpa_change_pct strong_segments weak_segments efficiency_rank")
-    matrix_items = items(
-        "matrix_items", "platform country spend conversions cpa ctr cpa_change_pct segments_analyzed")
+    matrix_item = item(
+        "platform country spend conversions cpa ctr cpa_change_pct segments_analyzed")
     return regional(
         union(
-            section("COUNTRY_COMPARISON", {
+            parts_of("COUNTRY_COMPARISON", {
                 "analysis_type": f"'{kind}'",
                 "platforms_analyzed": texts(platforms),
                 "period": f"'{label} ({days} days)'",
                 "trend_analysis_included": "true" if trends else "false",
-                "country_performance": country_items if kind == "country" else "NULL"}),
-            section("PLATFORM_BY_COUNTRY", {
+            }, "country_performance", country_item,
+                "country_items" if kind == "country" else "(SELECT * FROM country_items WHERE false)", per_row),
+            parts_of("PLATFORM_BY_COUNTRY", {
                 "analysis_note": "'Platform performance breakdown by country'",
-                "platform_country_matrix": "NULL" if kind == "country" else matrix_items}),
+            }, "platform_country_matrix", matrix_item,
+                "(SELECT * FROM matrix_items WHERE false)" if kind == "country" else "matrix_items", per_row),
             regional_insights(trends),
         ),
         platforms, days, trends,

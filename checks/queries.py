@@ -221,6 +221,9 @@ _facts("regional_report", lambda f: regional.report(f, AS_OF), sql.regional_repo
 _facts("regional_report_platform_by_country",
        lambda f: regional.report(f, AS_OF, ["Google", "Bing"], "platform_by_country", "30d"),
        sql.regional_report(("Google", "Bing"), "platform_by_country", "30d", 30))
+_facts("regional_report_parts",
+       lambda f: regional.report(f, AS_OF, comparison_type="platform_by_country", items_per_row=2),
+       sql.regional_report(kind="platform_by_country", per_row=2))
 _facts("regional_report_no_trends",
        lambda f: regional.report(f, AS_OF, date_range="7d", include_trends=False),
        sql.regional_report(label="7d", days=7, trends=False))

@@ -47,7 +47,8 @@ def _part(name: Column, index: int) -> Column:
 
 
 def creative_concept(name: Column) -> Column:
-    """First part of the name; a name without separator is its own concept."""
+    """First part of the name; a name without separator is its own concept, by its first
+    50 characters (longer names with one beginning are one concept)."""
     return (
         F.when(F.contains(name, F.lit(NAME_SEPARATOR)), strip(_part(name, 0)))
         .when(name.isNotNull(), shortened(name, 50))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import released_with, shared
-from spendscope.plans.ranking import ascending, top_k
+from spendscope.plans.ranking import ascending, global_rank, top_k
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
@@ -297,10 +297,12 @@ def report(
         sections.pack_parts(
             "PROBLEM_CAMPAIGNS",
             "campaigns_needing_attention",
-            sections.cut(problems(matched, settings), campaign_name=80),
-            [F.desc("spend_current"), *ascending(*_KEYS)],
-            problem_columns,
-            items_per_row,
+            global_rank(
+                sections.cut(problems(matched, settings), campaign_name=80),
+                [F.desc("spend_current"), *ascending(*_KEYS)],
+            ),
+            items_per_row=items_per_row,
+            columns=problem_columns,
         ),
         sections.pack(
             "TOP_PERFORMERS",

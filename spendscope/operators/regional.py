@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spendscope.functions import kpi, periods, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import released_with, shared
-from spendscope.plans.ranking import numbered
+from spendscope.plans.ranking import global_rank
 from spendscope.settings import SETTINGS, Settings
 from spendscope.sources.schemas import require_columns
 
@@ -167,7 +167,7 @@ def country_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataF
 def country_ranked(countries: DataFrame) -> DataFrame:
     """Numbered by CPA; a country without conversions has no CPA and comes first."""
     order = [F.asc_nulls_first("blended_cpa"), F.asc_nulls_first("country")]
-    return numbered(countries, order, "efficiency_rank")
+    return global_rank(countries, order, "efficiency_rank")
 
 
 def platform_country(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -192,7 +192,7 @@ def _shown_change(column: str):
 
 def country_section(ranked: DataFrame) -> DataFrame:
     order = [F.desc("total_spend"), F.asc_nulls_first("country")]
-    return numbered(ranked, order).select(
+    return global_rank(ranked, order).select(
         "position",
         "country",
         kpi.rounded(F.col("total_spend"), 2).alias("total_spend"),
@@ -214,7 +214,7 @@ def platform_country_section(matrix: DataFrame) -> DataFrame:
         F.asc_nulls_first("platform_country_cpa"),
         F.asc_nulls_first("country"),
     ]
-    return numbered(matrix, order).select(
+    return global_rank(matrix, order).select(
         "position",
         "platform",
         "country",
@@ -257,9 +257,10 @@ def report(
     date_range: str = "14d",
     include_trends: bool = True,
     settings: Settings = SETTINGS,
+    items_per_row: int = sections.ITEMS_PER_ROW,
 ) -> DataFrame:
     """The packed report. All three sections always appear; of the two comparisons the
-    one not asked for has a NULL array."""
+    one not asked for has a NULL array. Comparisons come in parts of ``items_per_row``."""
     params.choice(comparison_type, COMPARISON_TYPES, "comparison_type")
     segments = shared(
         performance(facts, as_of, platforms, date_range, include_trends, settings)
@@ -280,12 +281,15 @@ def report(
     findings = insights(ranked, include_trends, settings)
     packed = sections.report(
         [
-            sections.pack("COUNTRY_COMPARISON", "country_performance", by_country, header),
-            sections.pack(
+            sections.pack_parts(
+                "COUNTRY_COMPARISON", "country_performance", by_country, header, items_per_row
+            ),
+            sections.pack_parts(
                 "PLATFORM_BY_COUNTRY",
                 "platform_country_matrix",
                 by_platform,
                 {"analysis_note": "Platform performance breakdown by country"},
+                items_per_row,
             ),
             findings.select(
                 *sections.section(

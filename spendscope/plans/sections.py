@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.functions import text
-from spendscope.plans.ranking import global_rank
 
 _WITH_NULLS = {"ignoreNullFields": "false"}
 
@@ -55,8 +54,8 @@ def pack(
     header: Mapping[str, Any] | None = None,
     position: str = "position",
 ) -> DataFrame:
-    """One row for a section whose size is bounded (a top-k, or one item per country
-    or platform). Without rows the section is still there, with a NULL array."""
+    """One row for a section whose size is bounded (a top-k, or one item per platform).
+    Without rows the section is still there, with a NULL array."""
     return rows.agg(
         json_object({**(header or {}), array: ordered_items(rows, position)}).alias("summary_data")
     ).select(*section(name, F.col("summary_data")))
@@ -66,26 +65,25 @@ def pack_parts(
     name: str,
     array: str,
     rows: DataFrame,
-    order: Sequence[Column],
-    columns: Sequence[str],
+    header: Mapping[str, Any] | None = None,
     items_per_row: int = ITEMS_PER_ROW,
+    position: str = "position",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """A section that may hold any number of items, as rows numbered by ``part`` from 1.
 
-    No task could hold an open-ended array, so every ``items_per_row`` items, in order,
-    make a row of the section. Without items the section is still there: part 1 with a
-    NULL array.
+    No task could hold an open-ended array, so every ``items_per_row`` items, in order of
+    their ``position`` (a ``global_rank``), make a row of the section. Without items the
+    section is still there: part 1 with a NULL array.
     """
-    ranked = global_rank(rows, order, "rank")
     parts = (
-        ranked.withColumn("part", F.expr(f"(rank - 1) div {items_per_row} + 1"))
+        rows.withColumn("part", F.expr(f"({position} - 1) div {items_per_row} + 1"))
         .groupBy("part")
-        .agg(ordered_items(ranked, "rank", columns).alias("items"))
+        .agg(ordered_items(rows, position, columns).alias("items"))
     )
     first = rows.sparkSession.range(1, 2).select(F.col("id").alias("part"))
-    return first.join(parts, "part", "full").select(
-        *section(name, json_object({"part": F.col("part"), array: F.col("items")}))
-    )
+    fields = {**(header or {}), "part": F.col("part"), array: F.col("items")}
+    return first.join(parts, "part", "full").select(*section(name, json_object(fields)))
 
 
 def cut(rows: DataFrame, **lengths: int) -> DataFrame:

@@ -43,15 +43,17 @@ def test_pack_orders_items_keeps_nulls_and_survives_no_rows(spark):
 @pytest.mark.parametrize("per_row", [10_000, 10, 25, 7])
 def test_section_in_parts_holds_every_item_in_order(spark, per_row):
     rows = spark.range(25).withColumn("double", F.col("id") * 2)
-    packed = sections.pack_parts("S", "items", rows, [F.desc("id")], ["id", "double"], per_row).collect()
+    ranked = ranking.global_rank(rows, [F.desc("id")])
+    packed = sections.pack_parts("S", "items", ranked, {"n": 1}, per_row, columns=["id"]).collect()
     parts = sorted((json.loads(r["summary_data"]) for r in packed), key=lambda p: p["part"])
     assert [p["part"] for p in parts] == list(range(1, -(-25 // per_row) + 1))
     assert [i["id"] for p in parts for i in p["items"]] == list(range(24, -1, -1))
+    assert all(list(p) == ["n", "part", "items"] and list(p["items"][0]) == ["id"] for p in parts)
     assert all(len(p["items"]) <= per_row for p in parts)
 
 
 def test_section_in_parts_without_rows(spark):
-    (row,) = sections.pack_parts("S", "items", spark.range(0), [F.asc("id")], ["id"]).collect()
+    (row,) = sections.pack_parts("S", "items", ranking.global_rank(spark.range(0), [F.asc("id")])).collect()
     assert row["summary_data"] == '{"part":1,"items":null}'
 
 
