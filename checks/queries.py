@@ -398,7 +398,8 @@ _facts("excess_cost",
            .alias("excess_cost")),
        _daily_sql(f"""SELECT {', '.join(_KEYS)},
            CAST(CASE WHEN {sql.ratio('spend', 'conversions')} > {sql.target()}
-             THEN spend - CAST({sql.target()} AS DECIMAL(10,2)) * conversions ELSE 0 END AS DOUBLE)
+             THEN {sql.rnd(f"({sql.ratio('spend', 'conversions')} - {sql.target()}) * conversions", 6)}
+             ELSE 0 END AS DOUBLE)
              AS excess_cost FROM daily"""))
 _facts("pct_change",
        lambda f: _two_days(f).select(*_KEYS[:3], kpi.pct_change(
