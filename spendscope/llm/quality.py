@@ -172,9 +172,12 @@ def fit(labelled: DataFrame, metadata: tuple[str, ...] = ("n_chars",), text: str
         return step
 
     vectors = frames.per_document(rows, [text, label, *metadata], "index array<int>, value array<float>, label double", work)
-    got = vectors.orderBy(F.xxhash64("index"), "label").toArrow()
+    got = vectors.withColumn("print", F.xxhash64("index")).toArrow()
     found = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(got.column("index"), got.column("value"))]
-    return train(found, got.column("label").to_numpy(), shape, rank)
+    labels = got.column("label").to_numpy()
+    # the same order whatever the tasks
+    order = np.lexsort((labels, got.column("print").to_numpy()))
+    return train([found[i] for i in order], labels[order], shape, rank)
 
 
 def scores(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -82,6 +82,16 @@ def test_keys_repeated_or_null(spark):
     same(spark, rows)
 
 
+def test_query_as_brute_force(spark):
+    from spendscope.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = queries.op6_suffix_dedup(spark, sf).collect()
+    assert sorted(map(tuple, found)) == sorted(brute(rows).values())
+    assert sum(r["n_removed"] for r in found) > 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.digest(docs).collect() == []
