@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from llm_fixtures import docs, documents, prose  # noqa: F401
 from spendscope.llm import decontam, frames, langid, packing, pii, quality, queries, rules, simhash, stars, training_order
 
 SF = "/root/testdata/sf0.01"

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs, documents, prose  # noqa: F401
 from spendscope.llm import decontam, frames, langid, packing, pii, queries, sharding
 from spendscope.llm.tokens import encoder
 
