@@ -170,6 +170,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", limit
     single = counted.where(F.col(own).isNotNull() & (F.col("n") == 1)).select(own)
     rows = docs.join(single, F.col(key) == F.col(own), "left_semi")
     several = counted.where(F.col(own).isNull() | (F.col("n") > 1))
+    if several.isEmpty():
+        return rows
     again = docs.join(several.select(own), F.col(key).eqNullSafe(F.col(own)), "left_semi")
     roots = several.select(own, F.explode("prints").alias("p")).select(own, F.struct("p.fp", "p.root").alias(other))
     marked = _with_print(again, text, mark).join(
