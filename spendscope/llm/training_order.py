@@ -169,3 +169,17 @@ def read(spark: SparkSession, path: str, length: int = 2048, wide: bool = False,
                 F.expr(f"substring(content, record * {stride} + 1, {stride - 1})").alias("payload"))
         .where(F.col("slot") >= from_slot)
     )
+
+
+def materialised(rows: DataFrame, path: str, length: int = 2048, wide: bool = False, shard_rows: int = 4096) -> DataFrame:
+    """``ordered`` rows written to ``path`` and read back: slot, shard, record and payload are
+    those of the files, the other columns are joined by slot. A slot that only one side has
+    stays, with NULLs."""
+    numbers = frames.checkpointed(rows.select("slot", "index", "first_id", "n_tokens"))
+    if numbers.isEmpty():
+        return rows
+    write(rows, path)
+    found = read(rows.sparkSession, path, length, wide, shard_rows=shard_rows)
+    return found.join(numbers, "slot", "full").select(
+        "slot", F.expr(f"slot div {shard_rows}").alias("shard"), (F.col("slot") % shard_rows).alias("record"),
+        "index", "first_id", "n_tokens", "payload")
