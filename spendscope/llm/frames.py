@@ -44,6 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backquotes, for ``F.col``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, by ``modulus``; NULL for a NULL id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

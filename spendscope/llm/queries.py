@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm import (decontam, frames, langid, packing, pii, quality, rules, sharding, simhash, suffix_dedup,
-                            training_order)
+from spendscope.llm import (decontam, frames, langid, nearest, packing, pii, quality, rules, runs, sharding, simhash,
+                            suffix_dedup, training_order, whitening)
 from spendscope.llm.oracles import DECONTAMINATION
 
 ORDER_KEY = "epoch-0"
@@ -80,10 +80,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(frames.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.read(spark, sf_dir, "embeddings")
+    index = nearest.indexed(rows)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return nearest.search(index, rows.where("vec_id % 100 = 0"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.runs(frames.read(spark, sf_dir, "documents"), plant=True))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(frames.read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_pii, op3_packing, op4_quality_rules, op5_decontamination, op6_suffix_dedup,
-        op7_training_order, op8_simhash, op9_sharding, op10_language_id)}
+        op7_training_order, op8_simhash, op9_sharding, op10_language_id, op11_nearest, op12_periodic_runs,
+        op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
