@@ -21,7 +21,7 @@ Queries with one vector are one query until then.
 Defined cases: vectors that are NULL, empty, zero, of another than the commonest length, or
 hold NULL, NaN or infinite entries (or such as 1e150, whose squares overflow) take no part,
 nor do NULL keys. Repeated rows are one; a key with two vectors has both as candidates, each
-found by itself, asks for both, and is never its own neighbour. Ties go to smaller keys. A query with fewer
+found by itself (once where they are equally far), asks for both, and is never its own neighbour. Ties go to smaller keys. A query with fewer
 candidates has them all; an empty table gives no rows. Other columns are ignored.
 """
 

@@ -116,7 +116,7 @@ def plain_nearest(rows, most=10):
     for key, own in rows:
         if key % 100 == 0:
             away = np.sqrt(((x - np.array(own, dtype=np.float64)) ** 2).sum(axis=1)).tolist()
-            out[key] = sorted((d, k) for d, k in zip(away, keys) if k != key)[:most]
+            out[key] = sorted({(d, k) for d, k in zip(away, keys) if k != key})[:most]
     return out
 
 
