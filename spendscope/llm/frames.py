@@ -18,11 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is configured."""
+    """The session's checkpoint folder; on a local master a temporary one where none is configured."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -32,16 +34,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed`` for wide rows: compressed and column by column. The files
-    go when the session ends."""
-    spark = df.sparkSession
+def temporary(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
     path = f"{shared_folder(spark)}/{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed`` for wide rows: compressed and column by column."""
+    path = temporary(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def quoted(name: str) -> str:

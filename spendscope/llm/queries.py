@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +55,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_order.ordered(frames.read(spark, sf_dir, "documents"), tokenizer_path(), ORDER_KEY)
-    rows = training_order.materialised(rows, f"{frames.shared_folder(spark)}/shards-{uuid.uuid4()}")
-    return rows.select("slot", "shard", "record", "index", F.col("first_id").alias("first_doc_id"), "n_tokens",
-                       F.crc32("payload").alias("payload_crc32"))
+    rows = training_order.numbered(frames.read(spark, sf_dir, "documents"), tokenizer_path(), ORDER_KEY)
+    rows = training_order.materialised(rows, frames.temporary(spark))
+    return rows.withColumnRenamed("first_id", "first_doc_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

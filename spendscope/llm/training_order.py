@@ -10,13 +10,14 @@ anyone who has the key can compute for any sequence, or invert.
 
 Sequences are range-partitioned and sorted by slot. A shard is ``shard_rows`` successive
 slots; each is one file of records of equal length, so slot s is record
-``s % shard_rows`` of shard ``s // shard_rows``, and a reader resumes at any slot with one
-seek. Records are little-endian ids of 2 bytes (4 if ids need them) and a newline byte,
-written by Spark's text sink, which commits a task's files as a whole.
-
-Defined cases: a NULL or empty text has the end token only; an empty table has no
-sequences; repeated rows are tokens like others; a NULL id stays NULL; other columns are
-ignored.
+``s % shard_rows`` of shard ``s // shard_rows``. A reader that resumes at a slot opens its shard
+and those behind it, and no others. Records are little-endian ids of 2 bytes (4 if ids need
+them) and a newline byte, written by Spark's text sink, which commits a task's files as a
+whole.
+
+Defined cases: a NULL or empty text has the end token only; a very long text is cut into
+as many sequences as it fills; an empty table has no sequences; repeated rows are tokens
+like others; a NULL id stays NULL; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,13 +119,13 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = 2048, text: str = "
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def ordered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048, shard_rows: int = 4096,
-            text: str = "text", key: str = "doc_id", end_token: int = 1, pad: int = 0, wide: bool = False) -> DataFrame:
-    """The sequences in training order: ``slot``, ``shard``, ``record`` (place in the shard),
-    ``index`` (place before permuting), ``first_id``, ``n_tokens``, ``payload``.
+def numbered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048, shard_rows: int = 4096,
+             text: str = "text", key: str = "doc_id", end_token: int = 1, pad: int = 0, wide: bool = False) -> DataFrame:
+    """The sequences with their places: ``slot``, ``shard``, ``record`` (place in the shard), ``index``
+    (place before permuting), ``first_id``, ``n_tokens``, ``payload``.
 
-    Partitioned by ranges of shards and sorted by slot. The table of task offsets that is
-    broadcast has one row for each task of the first pass.
+    The sequences are stored once; reading places without payloads reads no payloads. The
+    table of task offsets that is broadcast has one row for each task of the first pass.
     """
     made = frames.stored(sequences(docs, tokenizer, length, text, key, end_token, pad, wide))
     counts = made.groupBy("part").agg(F.count("*").alias("n"))
@@ -138,14 +139,22 @@ def ordered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048,
 
     indexed = made.join(F.broadcast(offsets.drop("n")), made["part"] == F.col("_part")).withColumn(
         "index", F.col("at") + F.col("_before"))
-    shards = max(1, -(-n // shard_rows))
-    return (
-        indexed.withColumn("slot", slot("index"))
-        .select("slot", F.expr(f"slot div {shard_rows}").alias("shard"), (F.col("slot") % shard_rows).alias("record"),
-                "index", "first_id", "n_tokens", "payload")
-        .repartitionByRange(min(2 * shards, 4000), "shard")
-        .sortWithinPartitions("shard", "slot")
-    )
+    return indexed.withColumn("slot", slot("index")).select(
+        "slot", F.expr(f"slot div {shard_rows}").alias("shard"), (F.col("slot") % shard_rows).alias("record"),
+        "index", "first_id", "n_tokens", "payload")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``numbered`` rows partitioned by ranges of shards and sorted by slot. A partition has
+    about half a shard while there are few, and 64 shards at most."""
+    shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
+    return rows.repartitionByRange(max(min(2 * shards, 4000), -(-shards // 64)), "shard").sortWithinPartitions("shard", "slot")
+
+
+def ordered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048, shard_rows: int = 4096,
+            text: str = "text", key: str = "doc_id", end_token: int = 1, pad: int = 0, wide: bool = False) -> DataFrame:
+    """The ``numbered`` sequences in training order."""
+    return in_order(numbered(docs, tokenizer, order_key, length, shard_rows, text, key, end_token, pad, wide))
 
 
 def write(rows: DataFrame, path: str) -> None:
@@ -172,14 +181,16 @@ def read(spark: SparkSession, path: str, length: int = 2048, wide: bool = False,
 
 
 def materialised(rows: DataFrame, path: str, length: int = 2048, wide: bool = False, shard_rows: int = 4096) -> DataFrame:
-    """``ordered`` rows written to ``path`` and read back: slot, shard, record and payload are
-    those of the files, the other columns are joined by slot. A slot that only one side has
-    stays, with NULLs."""
-    numbers = frames.checkpointed(rows.select("slot", "index", "first_id", "n_tokens"))
-    if numbers.isEmpty():
-        return rows
-    write(rows, path)
-    found = read(rows.sparkSession, path, length, wide, shard_rows=shard_rows)
-    return found.join(numbers, "slot", "full").select(
+    """``numbered`` rows written to ``path`` in training order and read back: slot, shard, record and
+    ``payload_crc32`` are those of the files, the other columns are joined by slot. A slot that
+    only one side has stays, with NULLs. Payloads are digested where they are read."""
+    places = rows.select("slot", "index", "first_id", "n_tokens")
+    if places.isEmpty():
+        return places.select("slot", "slot", "slot", "index", "first_id", "n_tokens", "slot").toDF(
+            "slot", "shard", "record", "index", "first_id", "n_tokens", "payload_crc32")
+    write(in_order(rows), path)
+    found = read(rows.sparkSession, path, length, wide, shard_rows=shard_rows).select(
+        "slot", F.crc32("payload").alias("payload_crc32"))
+    return found.join(places, "slot", "full").select(
         "slot", F.expr(f"slot div {shard_rows}").alias("shard"), (F.col("slot") % shard_rows).alias("record"),
-        "index", "first_id", "n_tokens", "payload")
+        "index", "first_id", "n_tokens", "payload_crc32")
