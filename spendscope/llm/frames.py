@@ -42,10 +42,10 @@ def temporary(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed`` for wide rows: compressed and column by column."""
+def stored(df: DataFrame, level: int = 3) -> DataFrame:
+    """Like ``checkpointed`` for wide rows: column by column, compressed by zstd's ``level``."""
     path = temporary(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

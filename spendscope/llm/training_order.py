@@ -23,11 +23,12 @@ like others; a NULL id stays NULL; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def numbered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048
     The sequences are stored once; reading places without payloads reads no payloads. The
     table of task offsets that is broadcast has one row for each task of the first pass.
     """
-    made = frames.stored(sequences(docs, tokenizer, length, text, key, end_token, pad, wide))
+    made = frames.stored(sequences(docs, tokenizer, length, text, key, end_token, pad, wide), level=6)
     counts = made.groupBy("part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = frames.checkpointed(counts.select(F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("_before"), "n"))
@@ -144,11 +145,27 @@ def numbered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048
         "index", "first_id", "n_tokens", "payload")
 
 
+def _payloads(rows: DataFrame, change: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """The rows with changed payloads, in the partitions and the order they have."""
+    at = rows.columns.index("payload")
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        changed = change()
+        for batch in incoming:
+            values = [changed(p) for p in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "payload", pa.array(values, type=batch.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def in_order(rows: DataFrame) -> DataFrame:
     """``numbered`` rows partitioned by ranges of shards and sorted by slot. A partition has
-    about half a shard while there are few, and 64 shards at most."""
+    about half a shard while there are few, and 64 shards at most. Payloads travel compressed."""
     shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
-    return rows.repartitionByRange(max(min(2 * shards, 4000), -(-shards // 64)), "shard").sortWithinPartitions("shard", "slot")
+    parts = max(min(2 * shards, 4000), -(-shards // 64))
+    packed = _payloads(rows, lambda: zstandard.ZstdCompressor(level=3).compress)
+    return _payloads(packed.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot"),
+                     lambda: zstandard.ZstdDecompressor().decompress)
 
 
 def ordered(docs: DataFrame, tokenizer: str, order_key: str, length: int = 2048, shard_rows: int = 4096,
