@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendscope.llm import decontam, frames, langid, packing, pii, simhash
+from spendscope.llm import decontam, frames, langid, near_copies, packing, pii
 from spendscope.llm.queries import tokenizer_path
 
 
@@ -19,7 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
