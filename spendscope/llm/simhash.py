@@ -17,37 +17,25 @@ members are grouped by these values and linked to the smallest in the group (a v
 Fingerprints, not documents, are linked; copies never meet in a group. Components are
 found by alternating stars on the links, in rounds cut by checkpoints.
 
-All of this is ``components``. ``deduplicated`` has a rule of its own: texts are near copies
-when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. Two bits of 64
-reach few such texts, so
+Near copies by the similarity of their shingles, which two bits of 64 reach few of, are in
+``near_copies``.
 
-* sets are dealt to 40 groups by keys of five minimal hashes each; a pair at 0.8 shares none
-  with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7, less at more;
-* in a group, pairs whose distances to a pivot, or whose own 256-bit fingerprints, differ by
-  more than 96 bits are discarded: pairs at 0.8 differ in about 39 bits (48 for the shortest
-  texts) with a deviation of 6, unrelated ones in 128 with a deviation of 8;
-* every survivor that is not connected yet is verified by the exact similarity of the texts
-  and linked. Sets are tried with the smallest of their groups first, then with the four
-  nearest of other components, at last with all that are left.
-
-Defined cases: NULL texts and texts without words have fingerprint 0 (and equal sets); fewer
-words than a shingle has are one shingle; a NULL id belongs to a component but never names it unless all
-ids are NULL; repeated rows are documents like others; other columns are ignored
-(``components``) or kept (``deduplicated``).
+Defined cases: NULL texts and texts without words have fingerprint 0; fewer words than a
+shingle has are one shingle; texts of any length are hashed whole; a NULL id belongs to a
+component but never names it unless all ids are NULL; repeated rows are documents like others;
+ties of the name go to the smallest id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from spendscope.llm import frames
 from spendscope.llm.stars import connected
@@ -56,15 +44,6 @@ RADIUS = 2
 PIVOTS = 16
 SEED = 42
 
-#: of ``deduplicated``: words of a shingle, similarity as a fraction, 64-bit words of a
-#: fingerprint, bits that near copies differ in at most, keys of a set, minima of a key
-WORDS = 5
-SIMILARITY = (4, 5)
-WIDE = 4
-REACH = 96
-BANDS = 40
-ROWS = 5
-
 
 def shingles(text: bytes | None, size: int = 3) -> list[bytes]:
     words = text.lower().split() if text else []
@@ -171,222 +150,3 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", limit:
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.select("fp", "root").join(named, "root")
     return prints.join(by_print, "fp").select(key, "fp", "component_id")
-
-
-@cache
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors: one for each word of a wide fingerprint, one for each minimum of the bands."""
-    odd = np.random.default_rng(20240202).integers(0, 1 << 64, size=WIDE + BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    return odd[:WIDE], odd[WIDE:]
-
-
-def shingle_hashes(text: bytes | None, size: int = WORDS) -> np.ndarray:
-    """The set of the text's shingles, as sorted 64-bit hashes."""
-    found = shingles(text, size)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found)))
-
-
-def set_id(hashes: np.ndarray) -> int:
-    """One value for equal sets of shingles, as signed long; 0 for the empty set."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)) if len(hashes) else 0
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """``WIDE`` words of 64 bits; a bit is set where it is set in more than half of the hashes."""
-    words, _ = _multipliers()
-    counts = np.zeros(64 * WIDE, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        mixed = hashes[at:at + (1 << 13), None] * words
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys, each of ``ROWS`` minimal hashes; none for the empty set."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.int64)
-    _, factors = _multipliers()
-    least = np.full(len(factors), (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        np.minimum(least, (factors[:, None] * hashes[None, at:at + 512]).min(axis=1), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of hashes have a Jaccard similarity of ``SIMILARITY`` or more, exactly."""
-    up, down = SIMILARITY
-    if down * min(len(a), len(b)) < up * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return down * common >= up * (len(a) + len(b) - common)
-
-
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``fp`` (the ``set_id``), ``wide`` and ``bands`` of every row."""
-
-    def work():
-        def step(ids, texts):
-            sets = [shingle_hashes(t) for t in frames.utf8(texts)]
-            return {key: ids, "fp": [set_id(s) for s in sets], "wide": [wide_fingerprint(s).view(np.int64) for s in sets],
-                    "bands": [bands(s) for s in sets]}
-        return step
-
-    kind = docs.schema[key].dataType.simpleString()
-    return frames.per_document(docs, [key, text], f"{key} {kind}, fp long, wide array<long>, bands array<long>", work)
-
-
-def nearest(prints: np.ndarray, roots: np.ndarray, references: np.ndarray, most: int | None) -> list[tuple[int, int]]:
-    """Pairs of places in one group whose wide fingerprints are within ``REACH`` bits and
-    whose roots differ: for each member its ``most`` nearest, or all."""
-    table = np.stack([np.bitwise_count(prints ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
-    order = np.argsort(table[:, 0], kind="stable")
-    ends = np.searchsorted(table[order, 0], table[order, 0] + REACH, side="right")
-    starts = np.searchsorted(table[order, 0], table[order, 0] - REACH, side="left")
-    found = []
-    for at, i in enumerate(order.tolist()):
-        # all pairs are wanted once, the nearest of a member on both sides
-        near = order[at + 1 if most is None else starts[at]:ends[at]]
-        near = near[roots[near] != roots[i]]
-        near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= REACH]
-        bits = np.bitwise_count(prints[near] ^ prints[i]).sum(axis=1, dtype=np.int16)
-        near, bits = near[bits <= REACH], bits[bits <= REACH]
-        if most is not None and len(near) > most:
-            near = near[np.argpartition(bits, most - 1)[:most]]
-        found += [(i, j) for j in near.tolist()]
-    return found
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs ``u``, ``v`` of set ids whose texts are ``alike``. Texts are read of one
-    document for each set that a pair names."""
-    own, mark = frames.unused(docs, "_own", "_fp")
-    pairs = frames.checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    named = frames.checkpointed(
-        pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "first"), "fp"))
-    read = docs.select(F.col(key).alias(own), F.col(text).alias("_text")).join(
-        named.select(F.col("first").alias("_first")).distinct(), F.col(own).eqNullSafe(F.col("_first")), "left_semi")
-    texts = _with_set(read, "_text", mark).select(F.col(mark).alias("fp"), "_text").join(
-        named.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("_text").alias("_text"))
-    texts = frames.stored(texts)
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("_text").alias("a")), "u").join(
-        texts.select(F.col("fp").alias("v"), F.col("_text").alias("b")), "v").select("u", "v", "a", "b")
-
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
-            same = [alike(shingle_hashes(a), shingle_hashes(b))
-                    for a, b in zip(frames.utf8(batch.column("a")), frames.utf8(batch.column("b")))]
-            yield batch.select(["u", "v"]).filter(pa.array(same, type=pa.bool_()))
-
-    return frames.checkpointed(both.mapInArrow(run, "u long, v long"))
-
-
-def _apart(a: str, b: str) -> Column:
-    """Bits in which two wide fingerprints differ."""
-    return sum((F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(1, WIDE)),
-               F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-
-
-def near_components(docs: DataFrame, text: str, key: str, limit: int) -> DataFrame:
-    """``key``, ``fp`` (set id), ``root`` and ``component_id`` of every row, linked at
-    ``SIMILARITY`` of the sets of ``WORDS``-word shingles."""
-    made = frames.stored(sketches(docs, text, key))
-    prints = made.select(key, "fp")
-    classes = frames.stored(made.groupBy("fp").agg(F.min(key).alias("first"), F.first("wide").alias("wide"), F.first("bands").alias("bands")))
-    wides = classes.select("fp", "wide")
-    dealt = classes.select("fp", F.explode("bands").alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1")
-    members = frames.checkpointed(dealt.join(frames.checkpointed(sizes), "key"))
-
-    # first each set with the smallest of its groups, which settles large groups of near copies
-    starred = (
-        members.where("fp != centre").select("fp", "centre").distinct().join(wides, "fp")
-        .join(wides.select(F.col("fp").alias("centre"), F.col("wide").alias("other")), "centre")
-        .where(_apart("wide", "other") <= REACH).groupBy("fp").agg(F.min("centre").alias("v")).select(F.col("fp").alias("u"), "v"))
-    linked = _verified(starred, classes, docs, text, key)
-    roots = connected(linked)
-    # then all pairs that are not connected yet, the nearest of each set before the others
-    for most in (4, None):
-        pairs = _unconnected(members.select("key", "fp"), wides, roots, limit, most)
-        found = _verified(pairs, classes, docs, text, key)
-        linked = linked.unionByName(found)
-        roots = connected(linked)
-
-    rooted = classes.select("fp", "first").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(named, "root"), "fp").select(key, "fp", "root", "component_id")
-
-
-def _unconnected(members: DataFrame, wides: DataFrame, roots: DataFrame, limit: int, most: int | None) -> DataFrame:
-    """Pairs ``u``, ``v`` that share a band, are within ``REACH`` bits and have different roots.
-
-    A group is dealt to blocks of about ``limit`` members: those of its commonest root to
-    one block each, for they are not compared with each other, the others to every block.
-    """
-    placed = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = frames.checkpointed(placed)
-    mixed = placed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root", True).alias("main"))
-    mixed = mixed.where("low < high").select("key", "main", F.expr(f"CAST((n + {limit} - 1) div {limit} AS INT)").alias("blocks"))
-    block = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(
-        F.sequence(F.lit(0), F.col("blocks") - 1))
-    grouped = (
-        placed.join(mixed, "key").select("key", F.explode(block).alias("block"), "fp", "root").join(wides, "fp")
-        .groupBy("key", "block").agg(F.collect_list(F.struct("fp", "root", "wide")).alias("m"))
-        .select("m.fp", "m.root", F.flatten("m.wide").alias("wide")))
-
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = pivots(PIVOTS * WIDE).reshape(PIVOTS, WIDE)
-        for batch in incoming:
-            ids, tops, prints = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(3))
-            prints = prints.view(np.uint64).reshape(-1, WIDE)
-            ends = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
-            found = [(ids[a + i], ids[a + j]) for a, b in zip([0, *ends[:-1]], ends)
-                     for i, j in nearest(prints[a:b], tops[a:b], references, most)]
-            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    return grouped.mapInArrow(run, "u long, v long")
-
-
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = 2048) -> DataFrame:
-    """One document of each group of near copies (see above), all columns: the one with
-    the smallest key.
-
-    Where rows repeat a key, or a component has NULL keys only, one of the rows with the
-    smallest key is kept for each component. Such rows are few; the texts of all others
-    are only filtered by key.
-    """
-    found = frames.checkpointed(near_components(docs, text, key, limit))
-    own, mark, other = frames.unused(docs, "_own", "_fp", "_other")
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id")))
-    counted = frames.checkpointed(
-        stay.groupBy(F.col(key).alias(own)).agg(F.count("*").alias("n"), F.collect_set(F.struct("fp", "root")).alias("prints")))
-    single = counted.where(F.col(own).isNotNull() & (F.col("n") == 1)).select(own)
-    rows = docs.join(single, F.col(key) == F.col(own), "left_semi")
-    several = counted.where(F.col(own).isNull() | (F.col("n") > 1))
-    if several.isEmpty():
-        return rows
-    again = docs.join(several.select(own), F.col(key).eqNullSafe(F.col(own)), "left_semi")
-    roots = several.select(own, F.explode("prints").alias("p")).select(own, F.struct("p.fp", "p.root").alias(other))
-    marked = _with_set(again, text, mark).join(
-        roots, F.col(key).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other)["fp"]))
-    kept = marked.withColumn(mark, F.col(other)["root"]).dropDuplicates([key, mark]).select(*docs.columns)
-    return rows.unionByName(kept)
-
-
-def _with_set(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """All columns, and the ``set_id`` as ``name``."""
-
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
-            values = [set_id(shingle_hashes(t)) for t in frames.utf8(batch.column(text))]
-            yield batch.append_column(name, pa.array(values, type=pa.int64()))
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
