@@ -14,8 +14,9 @@ broadcast in turn and searched in all documents.
 Defined cases: NULL texts have no words; an item or document without words has no hit;
 a row of the benchmark with a NULL id marks words but is not listed; rows with one item
 id are one item; repeated documents each give a row; a tie with the threshold
-(``hit / words == share``) counts as contaminated; other columns are ignored
-(``hits``) or kept (``clean``).
+(``hit / words == share``) counts as contaminated; texts of any length are searched whole;
+empty tables give no rows, or no hits; other columns, whatever their names, are ignored (``hits``)
+or kept (``clean``).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from spendscope.llm import frames
 
@@ -101,11 +103,12 @@ class Index:
 
 
 def block_filters(benchmark: DataFrame, text: str = "text", item: str = "item_id", block_bytes: int = 16 << 20) -> list[DataFrame]:
-    """The benchmark in blocks of whole items, of about ``block_bytes`` of text each."""
-    total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    """The benchmark in blocks of whole rows, of about ``block_bytes`` of text each. Rows of one
+    item, or without an item id, may be in different blocks."""
+    total = benchmark.agg(F.sum(F.octet_length(F.col(frames.quoted(text))))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).cast("binary").alias("text"))
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+    rows = benchmark.select(F.col(frames.quoted(item)).alias("item"), F.col(frames.quoted(text)).cast("binary").alias("text"))
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
 
 
 def union(a: list[int], b: list[int]) -> list[int]:
@@ -124,14 +127,14 @@ def union(a: list[int], b: list[int]) -> list[int]:
 def search(docs: DataFrame, carried: list[str], benchmark: DataFrame, text: str, item: str, size: int,
            block_bytes: int) -> DataFrame:
     """``row`` (a struct of the carried columns), ``n_words``, ``runs``, ``items`` of each row."""
-    frame = docs.select(F.struct(*[F.col(c) for c in carried]).alias("row"), F.col(text).cast("binary").alias("text"))
-    row = frame.schema["row"].dataType.simpleString()
+    frame = docs.select(F.struct(*[F.col(frames.quoted(c)) for c in carried]).alias("row"), F.col(frames.quoted(text)).cast("binary").alias("text"))
+    row = frame.schema["row"].dataType
     parts = block_filters(benchmark, text, item, block_bytes)
     for i, block in enumerate(parts):
         more = i + 1 < len(parts)
         index = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
-        schema = f"row {row}, n_words long, runs array<long>, items array<string>" + ", text binary" * more
-        frame = frame.mapInArrow(_pass(index, size, i > 0, more), schema)
+        found = StructType.fromDDL("n_words long, runs array<long>, items array<string>" + ", text binary" * more)
+        frame = frame.mapInArrow(_pass(index, size, i > 0, more), StructType([StructField("row", row), *found.fields]))
         frame = frames.stored(frame) if more else frame
     return frame
 

@@ -247,3 +247,37 @@ def test_sharding_of_few_or_no_rows(spark, docs):
 
 def test_schedule_gives_the_largest_to_the_least_loaded():
     assert sharding.schedule({1: 7, 2: 5, 3: 4, 4: 3, 5: 3}, 2) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
+# ---------------------------------------------------------------- what stands beside a number
+
+
+@pytest.mark.parametrize("text, kind, number", [
+    ("IBAN GB82 WEST 1234 5698 7654 32 AND more", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("IBAN DE89 3704 0044 0532 0130 00 OK", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("our bank AB12 GB82 WEST 1234 5698 7654 32.", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("account DE89370400440532013000", "iban", "DE89370400440532013000"),
+    ("credit card 3782 822463 10005 777", "shortcard", "3782 822463 10005"),
+    ("credit card 99 3782 822463 10005", "shortcard", "3782 822463 10005"),
+])
+def test_added_kinds_beside_other_words(text, kind, number):
+    (span,) = pii.find(text)
+    assert span.kind == kind and text[span.start:span.end] == number and number not in pii.scrubbed(text)
+
+
+@pytest.mark.parametrize("text", ["IBAN GB82 WEST 1234 5698 7654 33 AND more", "IBAN GB82 WEST 1234 5698 7654 3", "bank XX82 WEST 1234 5698 7654 32",
+                                  "bank DE89 3704  0044 0532 0130 00", "card 3782 822463 10006 777", "DE89" * 2000, "1 " * 9000])
+def test_no_numbers(text):
+    assert [s for s in pii.find(text) if s.kind in ("iban", "shortcard")] == []
+
+
+def test_empty_tables_and_names_with_dots(spark, docs):
+    table = docs([(1, "one two three"), (2, None)])
+    assert pii.digest(pii.spans(table.where("false"))).collect() == []
+    benchmark = spark.createDataFrame([(None, "one two three"), (None, "four"), ("q", "x y")], "`item.id` string, `the.text` string")
+    dotted = table.withColumnRenamed("text", "the.text").withColumnRenamed("row", "a.b")
+    clean = decontam.clean(dotted, benchmark, "the.text", "item.id")
+    assert clean.columns == dotted.columns and [r["doc_id"] for r in clean.collect()] == [2]
+    parts = decontam.clean(dotted, benchmark, "the.text", "item.id", block_bytes=4)
+    assert [r["doc_id"] for r in parts.collect()] == [2]
+    assert decontam.clean(table, benchmark.where("false").toDF("item_id", "text")).count() == 2
