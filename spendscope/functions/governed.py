@@ -1,8 +1,11 @@
-"""Rules of governed SQL, decided on the nodes of Spark's own parsed plan."""
+"""Rules of governed SQL, decided on the nodes of Spark's own parsed plan.
+
+The plan is read through the session's JVM, so this works in classic sessions, not over
+Spark Connect.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import SparkSession
@@ -35,22 +38,42 @@ class Parsed:
     """Names and node kinds of one parsed query, subqueries and CTEs included."""
 
     def __init__(self, spark: SparkSession, select: str):
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(select)
+        self._parser = spark._jsparkSession.sessionState().sqlParser()
+        self._select = select
         self.kinds: set[str] = set()
         self.relations: list[tuple[str, ...]] = []
         self.functions: set[str] = set()
-        self.windowed = False
-        for node in self._plans(plan):
+        self.ctes: set[str] = set()
+        #: first and last character of each relation's name
+        self._places: list[tuple[int, int]] = []
+        for node in self._plans(self._parser.parsePlan(select)):
             kind = node.getClass().getSimpleName()
             self.kinds.add(kind)
             if kind == "UnresolvedRelation":
                 self.relations.append(tuple(_items(node.multipartIdentifier())))
+                self._places.append((node.origin().startIndex().get(), node.origin().stopIndex().get()))
+
+    def with_views(self, aliases: Mapping[str, str]) -> str:
+        """The query with the relations whose names are aliases replaced by their views. Only
+        the places that the parsed relations come from change; a name that a CTE of the
+        query has is the CTE's."""
+        views = {name.lower(): view for name, view in aliases.items()}
+        out = self._select
+        for parts, (first, last) in sorted(zip(self.relations, self._places), key=lambda r: -r[1][0]):
+            name = ".".join(parts).lower()
+            if name not in views or name in self.ctes:
+                continue
+            if tuple(_items(self._parser.parseMultipartIdentifier(out[first:last + 1]))) != parts:
+                raise ValueError(f"the place of relation {name!r} is not known")
+            out = f"{out[:first]}`{views[name]}`{out[last + 1:]}"
+        return out
 
     def _plans(self, plan) -> Iterator:
         yield plan
         kind = plan.getClass().getSimpleName()
         if kind == "UnresolvedWith":
             for relation in _items(plan.cteRelations()):
+                self.ctes.add(relation.productElement(0).lower())
                 yield from self._plans(relation.productElement(1))
         for expression in _items(plan.expressions()):
             yield from self._expressions(expression)
@@ -74,25 +97,6 @@ def _items(sequence) -> list:
     return [sequence.apply(i) for i in range(sequence.size())]
 
 
-_TOKEN = re.compile(
-    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/"""
-    r"""|(?:`[^`]+`|[\w-]*[A-Za-z_][\w-]*)(?:\.(?:`[^`]+`|[\w-]+))*""", re.DOTALL)
-
-
-def with_views(select: str, aliases: Mapping[str, str]) -> str:
-    """The text with relation names that are aliases replaced by their views: whole
-    names only, quoted or not, and never inside of a literal or a comment."""
-    views = {name.lower(): view for name, view in aliases.items()}
-
-    def renamed(match: re.Match) -> str:
-        token = match.group()
-        if token[0] in "'\"" or token[:2] in ("--", "/*"):
-            return token
-        return views.get(token.replace("`", "").lower(), token)
-
-    return _TOKEN.sub(renamed, select)
-
-
 def unequal_join(spark: SparkSession, optimized) -> bool:
     """Whether a plan holds a join without an equality between its sides."""
     keys = spark._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys

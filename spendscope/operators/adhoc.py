@@ -41,8 +41,8 @@ def governed_sql(
     select = query.strip().rstrip(";").rstrip()
     if len(select) > settings.max_query_length:
         raise QueryRefused(f"longer than {settings.max_query_length} characters")
-    select = governed.with_views(select, aliases or {})
     try:
+        select = governed.Parsed(spark, select).with_views(aliases or {})
         parsed = governed.Parsed(spark, select)
     except ParseException as error:
         raise QueryRefused("not a query that Spark can parse") from error
