@@ -47,6 +47,28 @@ def matches(
     )
 
 
+def matched_ids(
+    facts: DataFrame,
+    as_of: date,
+    campaign_names: Sequence[str],
+    comparison_period: str = "week_over_week",
+    at_most: int = 10_000,
+) -> list[str] | None:
+    """The ids of all matches, to be passed on as ``ids``; None if there are more than
+    ``at_most``. Runs a job that reads names and spend only.
+
+    With ``ids`` the facts of other campaigns are filtered at the scan, before they are
+    aggregated: row groups are skipped by their least and greatest id, and buckets of a
+    bucketed table by the ids themselves.
+    """
+    found = (
+        matches(facts, as_of, campaign_names, comparison_period)
+        .where(F.col("campaign_id").isNotNull())
+        .select("campaign_id").distinct().limit(at_most + 1).collect()
+    )
+    return sorted(r["campaign_id"] for r in found) if len(found) <= at_most else None
+
+
 def _period_sums(as_of: date, comparison_period: str) -> dict[str, Column]:
     current_days, _ = periods.period_days(comparison_period)
     in_current = periods.current(as_of, current_days)
@@ -62,10 +84,16 @@ def _period_sums(as_of: date, comparison_period: str) -> dict[str, Column]:
 
 
 def _matched_totals(
-    facts: DataFrame, as_of: date, campaign_names: Sequence[str], comparison_period: str
+    facts: DataFrame,
+    as_of: date,
+    campaign_names: Sequence[str],
+    comparison_period: str,
+    ids: Sequence[str] | None = None,
 ) -> DataFrame:
     """Matching appearances with both periods' totals of their campaign id."""
     require_columns(facts, ["date", *_KEYS, *_METRICS])
+    if ids is not None:
+        facts = facts.where(text.in_list(F.col("campaign_id"), ids))
     _, total_days = periods.period_days(comparison_period)
     sums = _period_sums(as_of, comparison_period)
     of_id = Window.partitionBy("campaign_id")
@@ -131,12 +159,14 @@ def performance(
     campaign_names: Sequence[str],
     comparison_period: str = "week_over_week",
     settings: Settings = SETTINGS,
+    ids: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Matches with both periods, the changes between them and a CPA rating."""
+    """Matches with both periods, the changes between them and a CPA rating. ``ids``, if given,
+    are those of ``matched_ids``."""
     of_id = Window.partitionBy("campaign_id")
     per_match = [F.sum(f"{m}_comparison").over(of_id).alias(f"{m}_comparison") for m in _METRICS]
     both = (
-        _matched_totals(facts, as_of, campaign_names, comparison_period)
+        _matched_totals(facts, as_of, campaign_names, comparison_period, ids)
         .select(*_KEYS, "current_rows", *[f"{m}_current" for m in _METRICS], *per_match)
         .where(F.col("current_rows") > 0)
         .select(*_KEYS, *_kpis("current"), *_kpis("comparison"))
@@ -265,10 +295,12 @@ def report(
     include_creatives: bool = False,
     settings: Settings = SETTINGS,
     items_per_row: int = sections.ITEMS_PER_ROW,
+    ids: Sequence[str] | None = None,
 ) -> DataFrame:
     """The packed report: one scan for the matches and their totals and, if asked for,
-    one for their creatives. Problem campaigns come in parts of ``items_per_row``."""
-    matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings))
+    one for their creatives. Problem campaigns come in parts of ``items_per_row``. ``ids``, if
+    given, are those of ``matched_ids``."""
+    matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings, ids))
     current_days, _ = periods.period_days(comparison_period)
     names = {c: c for c in ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")}
     summary = executive_summary(matched).select(
@@ -299,7 +331,7 @@ def report(
             "campaigns_needing_attention",
             global_rank(
                 sections.cut(problems(matched, settings), campaign_name=80),
-                [F.desc("spend_current"), *ascending(*_KEYS)],
+                ["-spend_current", *_KEYS],
             ),
             items_per_row=items_per_row,
             columns=problem_columns,

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.functions import kpi, periods, text
+from spendscope.functions import kpi, periods, sketches, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, global_rank, numbered, top_k
@@ -60,22 +60,26 @@ def base(
     include_brand_campaigns: bool = True,
     min_spend_threshold: float = 500,
     settings: Settings = SETTINGS,
+    approximate: bool = False,
 ) -> DataFrame:
     """Campaigns per region with weighted shares and their most frequent position and
-    diagnosis (NULL counts as a value, the lowest value wins a tie)."""
+    diagnosis (NULL counts as a value, the lowest value wins a tie).
+
+    With ``approximate`` the most frequent values come from sketches of a fixed size in the one
+    aggregate of the sums. They are the same while a campaign has no more values than
+    ``sketches.TRACKED``; beyond, a value that clearly leads is found, and NULL is given
+    where none does.
+    """
     needed = ["date", *_KEYS, *_SUMS.values(), *_MEANS.values(), *_MODES.values()]
     needed += [p for p, _ in _SHARES.values()]
-    rows = (
-        require_columns(facts, needed)
-        .where(periods.current(as_of, periods.range_days(date_range)))
-        .where(text.in_list(F.col("region"), params.names(regions, "regions")))
-        .where(F.col("spend") > 0)
-        .where(F.col("actual_impressions") > settings.min_impressions)
-    )
+    rows = _visible(require_columns(facts, needed), settings).where(
+        periods.current(as_of, periods.range_days(date_range))
+    ).where(text.in_list(F.col("region"), params.names(regions, "regions")))
     if not include_brand_campaigns:
         rows = rows.where(~F.coalesce(F.col("is_brand_campaign"), F.lit(False)))
+    campaigns = _with_sketched_modes(rows) if approximate else _with_modes(rows)
     return (
-        _with_modes(rows).where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
+        campaigns.where(F.col("total_spend") >= effective_min_spend(min_spend_threshold))
         .where(F.col("total_clicks") >= settings.min_clicks)
         .select(
             *_KEYS,
@@ -94,6 +98,10 @@ def base(
     )
 
 
+def _visible(facts: DataFrame, settings: Settings) -> DataFrame:
+    return facts.where(F.col("spend") > 0).where(F.col("actual_impressions") > settings.min_impressions)
+
+
 def _additive() -> dict[str, Column]:
     """Everything that sums up from rows to labels to campaigns."""
     weights = sorted({w for _, w in _SHARES.values()})
@@ -134,6 +142,42 @@ def _with_modes(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_sketched_modes(rows: DataFrame) -> DataFrame:
+    """One aggregate for sums and labels; partial states of a campaign are merged."""
+    states = {name: sketches.label_counts(F.col(column)).alias(name) for name, column in _MODES.items()}
+    summed = rows.groupBy(*_KEYS).agg(
+        *[total.alias(name) for name, total in _additive().items()], *states.values()
+    )
+    return summed.withColumns({name: sketches.leading_label(F.col(name))["label"] for name in states})
+
+
+def label_states(
+    facts: DataFrame, keys: Sequence[str] = ("date", *_KEYS), settings: Settings = SETTINGS
+) -> DataFrame:
+    """States of the positions and diagnoses per day and campaign, to be stored; any window
+    and any coarser key is answered from them by ``modal_labels``."""
+    rows = _visible(require_columns(facts, [*keys, *_MODES.values(), "spend", "actual_impressions"]), settings)
+    return rows.groupBy(*keys).agg(*[sketches.label_counts(F.col(c)).alias(c) for c in _MODES.values()])
+
+
+def modal_labels(
+    states: DataFrame, as_of: date, date_range: str = "14d", keys: Sequence[str] = ("region",)
+) -> DataFrame:
+    """The most frequent position and diagnosis of a window per ``keys``, and how often each
+    was seen, from the rows of ``label_states``."""
+    merged = (
+        states.where(periods.current(as_of, periods.range_days(date_range)))
+        .groupBy(*keys)
+        .agg(*[sketches.merged_label_counts(F.col(c)).alias(c) for c in _MODES.values()])
+    )
+    leading = {name: sketches.leading_label(F.col(column)) for name, column in _MODES.items()}
+    return merged.select(
+        *keys,
+        *[found["label"].alias(name) for name, found in leading.items()],
+        *[found["count"].alias(f"{name}_rows") for name, found in leading.items()],
+    )
+
+
 def classified(campaigns: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     budget, rank = F.col("weighted_budget_lost"), F.col("weighted_rank_lost")
     market = F.col("total_market_size")
@@ -152,20 +196,21 @@ def classified(campaigns: DataFrame, settings: Settings = SETTINGS) -> DataFrame
 
 def _selection(
     analysis_type: str, min_spend_threshold: float, settings: Settings
-) -> tuple[Column, Column, int]:
-    """Which campaigns an analysis keeps, what it ranks them by, and how many it shows."""
+) -> tuple[Column, str, int]:
+    """Which campaigns an analysis keeps, what it ranks them by (most first), and how many it
+    shows."""
     actionable = settings.actionable_lost_share
-    by_score = F.desc("opportunity_score")
+    by_score = "opportunity_score"
     if params.choice(analysis_type, ANALYSIS_TYPES, "analysis_type") == "budget_opportunities":
         keep = (F.col("weighted_budget_lost") >= actionable) & F.col("budget_status").isin(
             "CONSTRAINED", "BALANCED"
         )
-        return keep, F.desc("additional_budget_needed"), settings.budget_campaigns
+        return keep, "additional_budget_needed", settings.budget_campaigns
     if analysis_type == "rank_opportunities":
         keep = (F.col("weighted_rank_lost") >= actionable) & F.col("opportunity_type").isin(
             "RANK_OPPORTUNITY", "RANK_IMPROVEMENT"
         )
-        return keep, F.desc("potential_clicks_from_rank"), settings.rank_campaigns
+        return keep, "potential_clicks_from_rank", settings.rank_campaigns
     if analysis_type == "regional_comparison":
         keep = F.col("total_spend") >= effective_min_spend(min_spend_threshold) * 2
         return keep, by_score, settings.regional_campaigns
@@ -181,7 +226,7 @@ def ranked(
     """Every campaign the analysis keeps, with its rank. Reports only need the first
     few and take ``limited``, which sorts no more than those."""
     keep, order, _ = _selection(analysis_type, min_spend_threshold, settings)
-    return global_rank(campaigns.where(keep), [order, *ascending(*_KEYS)], "analysis_rank")
+    return global_rank(campaigns.where(keep), [f"-{order}", *_KEYS], "analysis_rank")
 
 
 def limited(
@@ -191,7 +236,7 @@ def limited(
     settings: Settings = SETTINGS,
 ) -> DataFrame:
     keep, order, count = _selection(analysis_type, min_spend_threshold, settings)
-    return top_k(campaigns.where(keep), [order, *ascending(*_KEYS)], count, "analysis_rank")
+    return top_k(campaigns.where(keep), [F.desc(order), *ascending(*_KEYS)], count, "analysis_rank")
 
 
 def _high_opportunity(settings: Settings) -> Column:

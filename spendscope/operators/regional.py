@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.functions import kpi, periods, text
+from spendscope.functions import kpi, periods, sketches, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import global_rank
@@ -34,8 +34,10 @@ def current(
     as_of: date,
     platforms: Sequence[str] = DEFAULT_PLATFORMS,
     date_range: str = "14d",
+    with_sketches: bool = False,
 ) -> DataFrame:
     spend, conversions = F.sum("spend"), F.sum("conversions")
+    more = [sketches.distinct_sketch(F.col("campaign_id")).alias("campaign_sketch")] if with_sketches else []
     return (
         _spending(facts, platforms)
         .where(periods.current(as_of, periods.range_days(date_range)))
@@ -46,6 +48,7 @@ def current(
             kpi.cpa(spend, conversions).alias("cpa_current"),
             kpi.ctr(F.sum("clicks"), F.sum("impressions")).alias("ctr_current"),
             F.countDistinct("campaign_id").alias("campaign_count_current"),
+            *more,
         )
     )
 
@@ -71,7 +74,7 @@ def previous(
 
 
 def _both_periods(
-    facts: DataFrame, as_of: date, platforms: Sequence[str], date_range: str
+    facts: DataFrame, as_of: date, platforms: Sequence[str], date_range: str, with_sketches: bool
 ) -> DataFrame:
     """Current and previous segments side by side, from one scan and one shuffle.
 
@@ -86,6 +89,8 @@ def _both_periods(
     def total(metric: str, condition):
         return F.sum(F.when(condition, F.col(metric)))
 
+    ids = F.when(now, F.col("campaign_id"))
+    more = [sketches.distinct_sketch(ids).alias("campaign_sketch")] if with_sketches else []
     return (
         _spending(facts, platforms)
         .where(periods.current(as_of, 2 * days))
@@ -94,7 +99,8 @@ def _both_periods(
             total("spend", now).alias("spend_current"),
             total("conversions", now).alias("conversions_current"),
             kpi.ctr(total("clicks", now), total("impressions", now)).alias("ctr_current"),
-            F.countDistinct(F.when(now, F.col("campaign_id"))).alias("campaign_count_current"),
+            F.countDistinct(ids).alias("campaign_count_current"),
+            *more,
             total("spend", ~now & comparable).alias("spend_previous"),
             total("conversions", ~now & comparable).alias("conversions_previous"),
         )
@@ -117,13 +123,15 @@ def performance(
     date_range: str = "14d",
     include_trends: bool = True,
     settings: Settings = SETTINGS,
+    with_sketches: bool = False,
 ) -> DataFrame:
     """Segments with enough current spend, their trend and rating. Without trends the
-    columns of the previous period are there, and NULL."""
+    columns of the previous period are there, and NULL. With ``with_sketches`` each has a
+    ``campaign_sketch``, and countries gain ``distinct_campaigns``."""
     if include_trends:
-        segments = _both_periods(facts, as_of, platforms, date_range)
+        segments = _both_periods(facts, as_of, platforms, date_range, with_sketches)
     else:
-        segments = current(facts, as_of, platforms, date_range)
+        segments = current(facts, as_of, platforms, date_range, with_sketches)
         for name in ("spend", "conversions", "cpa"):
             same_type = segments.schema[f"{name}_current"].dataType
             segments = segments.withColumn(f"{name}_previous", F.lit(None).cast(same_type))
@@ -141,12 +149,15 @@ def performance(
         "cpa_previous",
         "cpa_change_pct",
         kpi.performance_rating(F.col("cpa_current"), settings).alias("performance_rating"),
+        *(["campaign_sketch"] if with_sketches else []),
     )
 
 
 def country_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     spend, conversions = F.sum("spend_current"), F.sum("conversions_current")
     rating = F.col("performance_rating")
+    merged = sketches.merged_distinct(F.col("campaign_sketch"))
+    more = [sketches.distinct_estimate(merged).alias("distinct_campaigns")] if "campaign_sketch" in segments.columns else []
     return (
         segments.groupBy("country")
         .agg(
@@ -159,6 +170,7 @@ def country_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataF
             kpi.mean(F.col("cpa_change_pct")).alias("avg_cpa_change"),
             kpi.count_if(rating.isin("EXCELLENT", "GOOD")).alias("strong_segments"),
             kpi.count_if(rating == "NEEDS_ATTENTION").alias("weak_segments"),
+            *more,
         )
         .where(F.col("total_spend") >= settings.min_country_spend)
     )
@@ -166,8 +178,7 @@ def country_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataF
 
 def country_ranked(countries: DataFrame) -> DataFrame:
     """Numbered by CPA; a country without conversions has no CPA and comes first."""
-    order = [F.asc_nulls_first("blended_cpa"), F.asc_nulls_first("country")]
-    return global_rank(countries, order, "efficiency_rank")
+    return global_rank(countries, ["blended_cpa", "country"], "efficiency_rank")
 
 
 def platform_country(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -191,8 +202,7 @@ def _shown_change(column: str):
 
 
 def country_section(ranked: DataFrame) -> DataFrame:
-    order = [F.desc("total_spend"), F.asc_nulls_first("country")]
-    return global_rank(ranked, order).select(
+    return global_rank(ranked, ["-total_spend", "country"]).select(
         "position",
         "country",
         kpi.rounded(F.col("total_spend"), 2).alias("total_spend"),
@@ -209,12 +219,7 @@ def country_section(ranked: DataFrame) -> DataFrame:
 
 
 def platform_country_section(matrix: DataFrame) -> DataFrame:
-    order = [
-        F.asc_nulls_first("platform"),
-        F.asc_nulls_first("platform_country_cpa"),
-        F.asc_nulls_first("country"),
-    ]
-    return global_rank(matrix, order).select(
+    return global_rank(matrix, ["platform", "platform_country_cpa", "country"]).select(
         "position",
         "platform",
         "country",

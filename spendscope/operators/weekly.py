@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import date
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendscope.functions import kpi, periods, text
+from spendscope.functions import kpi, periods, sketches, text
 from spendscope.plans import params, sections
 from spendscope.plans.materialize import released_with, shared
 from spendscope.plans.ranking import ascending, numbered, top_k
@@ -26,8 +26,14 @@ def base(
     platforms: Sequence[str] = REPORT_PLATFORMS,
     countries: Sequence[str] = DEFAULT_COUNTRIES,
     settings: Settings = SETTINGS,
+    with_sketches: bool = False,
 ) -> DataFrame:
-    """Segments (platform, country, objective) with enough spend and conversions."""
+    """Segments (platform, country, objective) with enough spend and conversions.
+
+    With ``with_sketches`` each has a ``campaign_sketch``, and what is rolled up from them
+    gains ``distinct_campaigns``: campaigns active in several segments count once.
+    """
+    more = [sketches.distinct_sketch(F.col("campaign_id")).alias("campaign_sketch")] if with_sketches else []
     return (
         require_columns(facts, _COLUMNS)
         .where(periods.current(as_of, periods.range_days(date_range)))
@@ -40,12 +46,20 @@ def base(
             F.sum("conversions").alias("total_conversions"),
             kpi.cpa(F.sum("spend"), F.sum("conversions")).alias("blended_cpa"),
             F.countDistinct("campaign_id").alias("campaign_count"),
+            *more,
         )
         .where(F.col("total_spend") >= settings.weekly_min_spend)
         .where(F.col("total_conversions") >= settings.weekly_min_conversions)
     )
 
 
+def _distinct_campaigns(segments: DataFrame) -> list[Column]:
+    if "campaign_sketch" not in segments.columns:
+        return []
+    merged = sketches.merged_distinct(F.col("campaign_sketch"))
+    return [sketches.distinct_estimate(merged).alias("distinct_campaigns")]
+
+
 def platform_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """Segments rolled up to platform. A campaign active in several segments counts
     once in each of them."""
@@ -56,6 +70,7 @@ def platform_summary(segments: DataFrame, settings: Settings = SETTINGS) -> Data
             F.sum("total_conversions").alias("platform_conversions"),
             kpi.cpa(F.sum("total_spend"), F.sum("total_conversions")).alias("platform_cpa"),
             F.sum("campaign_count").alias("total_campaigns"),
+            *_distinct_campaigns(segments),
         )
         .withColumn("target_cpa", kpi.target_cpa(F.col("platform"), settings))
     )
@@ -83,6 +98,7 @@ def regional_summary(segments: DataFrame) -> DataFrame:
         F.sum("total_conversions").alias("country_conversions"),
         kpi.cpa(F.sum("total_spend"), F.sum("total_conversions")).alias("country_cpa"),
         F.countDistinct("platform").alias("active_platforms"),
+        *_distinct_campaigns(segments),
     )
 
 

@@ -14,14 +14,14 @@ from spendscope.plans.materialize import released_with, shared
 def test_global_rank_equals_a_sort_even_when_a_third_of_rows_tie(spark):
     df = spark.range(0, 30_000, numPartitions=7).select(
         "id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).cast("int").alias("v"))
-    out = ranking.global_rank(df, [F.desc("v"), F.asc("id")], "rank").collect()
+    out = ranking.global_rank(df, ["-v", "id"], "rank").collect()
     expected = sorted(((r["id"], r["v"]) for r in out), key=lambda t: (-t[1], t[0]))
     assert [(r["id"], r["v"]) for r in sorted(out, key=lambda r: r["rank"])] == expected
     assert sorted(r["rank"] for r in out) == list(range(1, 30_001))
 
 
 def test_global_rank_of_nothing(spark):
-    assert ranking.global_rank(spark.range(0), [F.asc("id")]).count() == 0
+    assert ranking.global_rank(spark.range(0), ["id"]).count() == 0
 
 
 def test_top_k_numbers_in_order(spark):
@@ -43,7 +43,7 @@ def test_pack_orders_items_keeps_nulls_and_survives_no_rows(spark):
 @pytest.mark.parametrize("per_row", [10_000, 10, 25, 7])
 def test_section_in_parts_holds_every_item_in_order(spark, per_row):
     rows = spark.range(25).withColumn("double", F.col("id") * 2)
-    ranked = ranking.global_rank(rows, [F.desc("id")])
+    ranked = ranking.global_rank(rows, ["-id"])
     packed = sections.pack_parts("S", "items", ranked, {"n": 1}, per_row, columns=["id"]).collect()
     parts = sorted((json.loads(r["summary_data"]) for r in packed), key=lambda p: p["part"])
     assert [p["part"] for p in parts] == list(range(1, -(-25 // per_row) + 1))
@@ -53,7 +53,7 @@ def test_section_in_parts_holds_every_item_in_order(spark, per_row):
 
 
 def test_section_in_parts_without_rows(spark):
-    (row,) = sections.pack_parts("S", "items", ranking.global_rank(spark.range(0), [F.asc("id")])).collect()
+    (row,) = sections.pack_parts("S", "items", ranking.global_rank(spark.range(0), ["id"])).collect()
     assert row["summary_data"] == '{"part":1,"items":null}'
 
 
