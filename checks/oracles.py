@@ -92,12 +92,13 @@ def decimal_counts(statement: str) -> str:
 
 def many_keys(statement: str) -> str:
     """The statement over facts with a campaign per part, half of all rows in one of them,
-    an ad per order and free-text diagnoses."""
+    an ad per order, free-text diagnoses and a hundredfold spend."""
     for old, new in (
         ("l_partkey % 24 AS k", "CASE WHEN l_orderkey % 2 = 0 THEN 8 ELSE l_partkey END AS k"),
         ("'_' || CAST(l_suppkey % 5 AS VARCHAR) AS ad_id", "'_' || CAST(l_orderkey AS VARCHAR) AS ad_id"),
         ("CASE l_returnflag WHEN 'A' THEN 'budget limited' WHEN 'R' THEN 'rank limited'\n         ELSE NULL END AS performance_diagnosis",
          "CASE WHEN l_returnflag = 'A' THEN NULL ELSE 'order ' || CAST(l_orderkey % 5000 AS VARCHAR) END AS performance_diagnosis"),
+        ("END) // 10000 AS spend_cents", "END) // 100 AS spend_cents"),
     ):
         statement = statement.replace(old, new)
     return statement
@@ -273,6 +274,16 @@ opportunities AS (
     return with_(BLENDED, base, summary, sections, select=select)
 
 
+def distinct_campaigns(table: str, money: str, key: str, days=7) -> str:
+    """A summary of weekly segments with the number of different campaigns in them."""
+    return f"""
+SELECT * FROM ({doubles(table, money)}) JOIN (
+  SELECT b.{key}, COUNT(DISTINCT campaign_id) AS distinct_campaigns
+  FROM base b JOIN facts f ON f.platform = b.platform AND f.country = b.country
+    AND f.campaign_objective IS NOT DISTINCT FROM b.campaign_objective
+  WHERE {cur(days)} AND spend > 0 GROUP BY b.{key}) USING ({key})"""
+
+
 def weekly_report(label="7d", days=7, platforms=REPORT_PLATFORMS, countries=COUNTRIES) -> str:
     return weekly(
         union(
@@ -551,6 +562,16 @@ matrix_items AS (
     return with_(BLENDED, ctes, select=select)
 
 
+def distinct_of_segments(rounded: str, days=14) -> str:
+    """Countries with the number of different campaigns in their segments."""
+    return f"""
+SELECT s.*, d.distinct_campaigns FROM ({doubles("summary", "total_spend", rounded)}) s JOIN (
+  SELECT p.country, COUNT(DISTINCT campaign_id) AS distinct_campaigns
+  FROM performance p JOIN facts f ON f.platform = p.platform AND f.country IS NOT DISTINCT FROM p.country
+    AND f.campaign_objective IS NOT DISTINCT FROM p.campaign_objective
+  WHERE {cur(days)} AND spend > 0 GROUP BY p.country) d ON s.country IS NOT DISTINCT FROM d.country"""
+
+
 def regional_insights(trends=True) -> str:
     improved = """(SELECT country FROM ranked WHERE avg_cpa_change IS NOT NULL
         ORDER BY avg_cpa_change, country LIMIT 1)""" if trends else "'Trend analysis disabled'"
@@ -866,6 +887,29 @@ region_items AS (
     return with_(SHARES, ctes, select=select)
 
 
+def modal_labels(keys: list[str], days=14) -> str:
+    """The most frequent labels and their counts, by the keys."""
+    by = ", ".join(keys)
+
+    def counts(column: str) -> str:
+        return f"""
+{column}_counts AS (
+  SELECT {by}, {column}, COUNT(*) AS n,
+    ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY COUNT(*) DESC, {column} NULLS FIRST) AS rn
+  FROM facts WHERE {cur(days)} AND spend > 0 AND actual_impressions > 1000 GROUP BY {by}, {column})"""
+
+    on = " AND ".join(f"p.{k} IS NOT DISTINCT FROM d.{k}" for k in keys)
+    return f"""{counts('market_position').strip()},{counts('performance_diagnosis')},
+labels AS (
+  SELECT {', '.join(f'p.{k}' for k in keys)}, p.market_position, d.performance_diagnosis, p.n AS position_rows, d.n AS diagnosis_rows
+  FROM market_position_counts p JOIN performance_diagnosis_counts d ON {on} WHERE p.rn = 1 AND d.rn = 1)"""
+
+
+MODAL_LABELS = """
+SELECT {keys}, market_position AS primary_market_position, performance_diagnosis AS primary_diagnosis,
+  position_rows AS primary_market_position_rows, diagnosis_rows AS primary_diagnosis_rows FROM labels"""
+
+
 def impression_report(kind="overview", label="14d", days=14, regions=COUNTRIES, brand=True,
                       min_spend=500) -> str:
     parts = [

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+import uuid
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from checks import oracles as sql
 from spendscope.functions import kpi, pivots
 from spendscope.operators import adhoc, anomaly, campaign, creative, impression, regional, weekly
 from spendscope.settings import SENSITIVITY
-from spendscope.sources import derived
+from spendscope.sources import derived, reports, rollup, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,7 @@ def plain(df: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
     """Decimals as double, and means of doubles at 6 places, for comparison."""
 
     def column(field: T.StructField):
-        value = F.col(field.name)
+        value = F.col(f"`{field.name}`")
         if field.name in averages:
             value = kpi.rounded(value, 6)
         elif not isinstance(field.dataType, T.DecimalType):
@@ -548,6 +549,11 @@ def _governed_literals(f: DataFrame) -> DataFrame:
            GROUP BY campaign""")
 
 
+def _governed_texts(f: DataFrame, query: str) -> DataFrame:
+    f.createOrReplaceTempView("blended_summary")
+    return adhoc.governed_sql(f.sparkSession, query, aliases={ALLOWED_TABLES[0]: "blended_summary"})
+
+
 _facts("governed_sql_literals", _governed_literals,
        sql.with_(sql.BLENDED, select="""
          SELECT campaign, 'UnresolvedRelation [foo, bar]' AS shown, 'Update 5; DROP TABLE x' AS words, COUNT(*) AS n
@@ -648,10 +654,118 @@ def _generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("query_guard_audit_sql_texts", _generated_texts, _audit, _guard_sql(
     f"SELECT key AS id, {_TEXT} AS text FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS key FROM orders)"))
 
+_facts("governed_sql_raw_literals", lambda f: _governed_texts(f, r"""
+           SELECT r'\' AS a, 'warehouse.ads.blended_summary' AS b, platform, COUNT(*) AS n
+           FROM warehouse.ads.blended_summary GROUP BY platform"""),
+       sql.with_(sql.BLENDED, select=r"""
+         SELECT '\' AS a, 'warehouse.ads.blended_summary' AS b, platform, COUNT(*) AS n FROM facts GROUP BY platform"""))
+_facts("governed_sql_column_aliases", lambda f: _governed_texts(f, """
+           WITH x AS (SELECT platform, spend FROM WAREHOUSE.ads.`blended_summary` WHERE spend > 0)
+           SELECT platform AS `blended_summary`, SUM(spend) AS `warehouse.ads.blended_summary` FROM x GROUP BY platform"""),
+       sql.with_(sql.BLENDED, select="""
+         SELECT platform AS "blended_summary", CAST(SUM(spend) AS DOUBLE) AS "warehouse.ads.blended_summary"
+         FROM facts WHERE spend > 0 GROUP BY platform"""))
+
+# ---------------------------------------------------------------- sketches
+
+_shares("impression_base_approximate", lambda i: impression.base(i, AS_OF, approximate=True),
+        sql.impression(sql.doubles("base", _BASE)))
+_shares("impression_modal_labels",
+        lambda i: impression.modal_labels(impression.label_states(i), AS_OF),
+        sql.with_(sql.SHARES, sql.modal_labels(["region"]), select=sql.MODAL_LABELS.format(keys="region")))
+_shares("impression_modal_labels_stored",
+        lambda i: impression.modal_labels(_stored(impression.label_states(i)), AS_OF, "30d", ["region", "campaign_type"]),
+        sql.with_(sql.SHARES, sql.modal_labels(["region", "campaign_type"], 30),
+                  select=sql.MODAL_LABELS.format(keys="region, campaign_type")))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch.folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+_facts("weekly_platform_summary_distinct",
+       lambda f: weekly.platform_summary(weekly.base(f, AS_OF, with_sketches=True)),
+       sql.weekly(sql.distinct_campaigns("platforms", "platform_spend", "platform")))
+_facts("weekly_regional_summary_distinct",
+       lambda f: weekly.regional_summary(weekly.base(f, AS_OF, "30d", with_sketches=True)),
+       sql.weekly(sql.distinct_campaigns("countries", "country_spend", "country", 30), 30))
+_facts("regional_country_summary_distinct",
+       lambda f: regional.country_summary(regional.performance(f, AS_OF, with_sketches=True)),
+       sql.regional(sql.distinct_of_segments("avg_ctr avg_cpa_change")), ("avg_ctr", "avg_cpa_change"))
+
+# ---------------------------------------------------------------- roll-up and bucketed tables
+
+
+def _rolled_up(facts: DataFrame) -> DataFrame:
+    path = scratch.folder(facts.sparkSession)
+    rollup.refresh(facts, path)
+    return rollup.read(facts.sparkSession, path)
+
+
+def _redelivered(facts: DataFrame) -> DataFrame:
+    """A roll-up whose last days came wrong, some of them with rows that are no facts, and
+    were delivered again."""
+    path, late = scratch.folder(facts.sparkSession), [AS_OF - timedelta(days=n) for n in range(-3, 5)]
+    wrong = facts.withColumn("spend", F.when(F.col("date").isin(late), F.col("spend") + 7).otherwise(F.col("spend")))
+    more = facts.limit(1).select(*[F.lit(late[0]).alias(c) if c == "date" else F.col(c) for c in facts.columns])
+    rollup.refresh(wrong.unionByName(more), path)
+    rollup.refresh(facts, path, late)
+    return rollup.read(facts.sparkSession, path)
+
+
+def _bucketed(facts: DataFrame) -> DataFrame:
+    table = f"daily_{uuid.uuid4().hex}"
+    rollup.save_table(facts, table, scratch.folder(facts.sparkSession), 8)
+    return rollup.read_table(facts.sparkSession, table)
+
+
+def _from(change, names: list[str], suffix: str) -> None:
+    """Queries once more, with the same SQL, on facts that are stored in another form."""
+    for name in names:
+        source, build, averages = _MADE[name]
+        _register(f"{name}_{suffix}", source, lambda f, b=build: b(change(f)), _ORACLES[name], averages)
+
+
+_from(_rolled_up, ["weekly_base", "weekly_base_30d", "regional_performance", "regional_country_summary", "anomaly_features",
+                   "campaign_performance_mom"], "rolled_up")
+_from(_redelivered, ["weekly_base", "anomaly_current", "campaign_matches"], "redelivered")
+_from(_bucketed, ["campaign_performance", "campaign_problems"], "bucketed")
+
+
+def _of_known_ids(f: DataFrame) -> DataFrame:
+    return campaign.performance(f, AS_OF, TERMS, ids=campaign.matched_ids(f, AS_OF, TERMS))
+
+
+_facts("campaign_performance_known_ids", _of_known_ids, sql.campaign(sql.doubles("performance", _PERF), TERMS))
+_facts("campaign_performance_known_ids_bucketed", lambda f: _of_known_ids(_bucketed(f)),
+       sql.campaign(sql.doubles("performance", _PERF), TERMS))
+_facts("campaign_report_known_ids",
+       lambda f: campaign.report(f, AS_OF, TERMS, ids=campaign.matched_ids(f, AS_OF, TERMS)), sql.campaign_report(TERMS))
+
+# ---------------------------------------------------------------- stored reports
+
+
+def _stored_reports(f: DataFrame) -> DataFrame:
+    """Two reports, one of which is stored again, after a run that got lost half-way."""
+    path = scratch.folder(f.sparkSession)
+    reports.store(weekly.report(f, AS_OF, countries=["Nowhere"]), path, "weekly", AS_OF)
+    reports.store(regional.report(f, AS_OF), path, "regional", AS_OF)
+    weekly.report(f, AS_OF, "30d").write.parquet(f"{path}/rows/report=regional/as_of={AS_OF}/run=lost")
+    reports.store(weekly.report(f, AS_OF), path, "weekly", AS_OF)
+    return reports.read(f.sparkSession, path).drop("as_of")
+
+
+_facts("stored_reports", _stored_reports, f"""
+  SELECT 'weekly' AS report, * FROM ({sql.weekly_report()})
+  UNION ALL SELECT 'regional' AS report, * FROM ({sql.regional_report()})""")
+
 # ---------------------------------------------------------------- fractional counts, many keys
 
 
 _of(derived.blended_summary_decimal, sql.decimal_counts, ["weekly_base", "campaign_performance"])
 _of(derived.blended_summary_many_keys, sql.many_keys,
-    ["campaign_performance", "campaign_creatives", "creative_data", "anomaly_features"])
-_of(derived.impression_share_report_many_keys, sql.many_keys, ["impression_base", "impression_ranked"])
+    ["campaign_performance", "campaign_creatives", "creative_data", "anomaly_features", "anomaly_features_rolled_up",
+     "campaign_performance_bucketed", "campaign_performance_known_ids"])
+_of(derived.impression_share_report_many_keys, sql.many_keys, ["impression_base", "impression_base_approximate", "impression_ranked"])

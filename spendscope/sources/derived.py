@@ -30,11 +30,12 @@ _SPEND = "CAST(spend_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 
 
 _FEW = "l_partkey % 24"
-# a campaign for each part, and one of them with half of all rows
+# a campaign for each part, and one of them with half of all rows; spend is a hundredfold, so
+# that campaigns of few rows are above the limits of reports
 _MANY = "CASE WHEN l_orderkey % 2 = 0 THEN 8 ELSE l_partkey END"
 
 
-def _line_items(spark: SparkSession, sf_dir: str, campaign: str = _FEW) -> DataFrame:
+def _line_items(spark: SparkSession, sf_dir: str, campaign: str = _FEW, cents: int = 10_000) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,8 +65,8 @@ def _line_items(spark: SparkSession, sf_dir: str, campaign: str = _FEW) -> DataF
         )
         .selectExpr(
             "*",
-            """price_cents * (CASE WHEN off <= 7 AND k % 5 = 0 THEN 7 + k % 12
-                                   ELSE 2 + k % 12 END) div 10000 AS spend_cents""",
+            f"""price_cents * (CASE WHEN off <= 7 AND k % 5 = 0 THEN 7 + k % 12
+                                   ELSE 2 + k % 12 END) div {cents} AS spend_cents""",
         )
     )
 
@@ -82,7 +83,7 @@ def blended_summary_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blended_summary_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same facts with keys that grow with the data: a campaign for each part, an ad
     for each order, and half of all rows in one campaign."""
-    return _performance(_line_items(spark, sf_dir, _MANY), ad="l_orderkey")
+    return _performance(_line_items(spark, sf_dir, _MANY, 100), ad="l_orderkey")
 
 
 def _performance(lines: DataFrame, conversions: str = "qty div 20", ad: str = "l_suppkey % 5") -> DataFrame:
@@ -121,7 +122,7 @@ def impression_share_report_many_keys(spark: SparkSession, sf_dir: str) -> DataF
     free-text diagnoses."""
     diagnosis = """CASE WHEN l_returnflag = 'A' THEN NULL
                         ELSE concat('order ', CAST(l_orderkey % 5000 AS STRING)) END"""
-    return _shares(_line_items(spark, sf_dir, _MANY), diagnosis)
+    return _shares(_line_items(spark, sf_dir, _MANY, 100), diagnosis)
 
 
 _DIAGNOSIS = """CASE l_returnflag WHEN 'A' THEN 'budget limited' WHEN 'R' THEN 'rank limited'
