@@ -301,6 +301,7 @@ def report(
     one for their creatives. Problem campaigns come in parts of ``items_per_row``. ``ids``, if
     given, are those of ``matched_ids``."""
     matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings, ids))
+    kept: list[DataFrame] = []
     current_days, _ = periods.period_days(comparison_period)
     names = {c: c for c in ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")}
     summary = executive_summary(matched).select(
@@ -332,6 +333,7 @@ def report(
             global_rank(
                 sections.cut(problems(matched, settings), campaign_name=80),
                 ["-spend_current", *_KEYS],
+                kept=kept,
             ),
             items_per_row=items_per_row,
             columns=problem_columns,
@@ -351,4 +353,4 @@ def report(
         )
         note = {"note": "Meta creative performance analysis included"}
         packed.append(sections.pack("CREATIVE_ANALYSIS", "top_creatives", ads, note))
-    return released_with(sections.report(packed), matched)
+    return released_with(sections.report(packed), matched, *kept)

@@ -176,9 +176,10 @@ def country_summary(segments: DataFrame, settings: Settings = SETTINGS) -> DataF
     )
 
 
-def country_ranked(countries: DataFrame) -> DataFrame:
-    """Numbered by CPA; a country without conversions has no CPA and comes first."""
-    return global_rank(countries, ["blended_cpa", "country"], "efficiency_rank")
+def country_ranked(countries: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Numbered by CPA; a country without conversions has no CPA and comes first. ``kept``
+    is that of ``global_rank``, here and in the sections."""
+    return global_rank(countries, ["blended_cpa", "country"], "efficiency_rank", kept)
 
 
 def platform_country(segments: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -201,8 +202,8 @@ def _shown_change(column: str):
     return kpi.rounded(F.coalesce(F.col(column), F.lit(0.0)), 1)
 
 
-def country_section(ranked: DataFrame) -> DataFrame:
-    return global_rank(ranked, ["-total_spend", "country"]).select(
+def country_section(ranked: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
+    return global_rank(ranked, ["-total_spend", "country"], kept=kept).select(
         "position",
         "country",
         kpi.rounded(F.col("total_spend"), 2).alias("total_spend"),
@@ -218,8 +219,8 @@ def country_section(ranked: DataFrame) -> DataFrame:
     )
 
 
-def platform_country_section(matrix: DataFrame) -> DataFrame:
-    return global_rank(matrix, ["platform", "platform_country_cpa", "country"]).select(
+def platform_country_section(matrix: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
+    return global_rank(matrix, ["platform", "platform_country_cpa", "country"], kept=kept).select(
         "position",
         "platform",
         "country",
@@ -270,9 +271,10 @@ def report(
     segments = shared(
         performance(facts, as_of, platforms, date_range, include_trends, settings)
     )
-    ranked = country_ranked(country_summary(segments, settings))
-    by_country = country_section(ranked)
-    by_platform = platform_country_section(platform_country(segments, settings))
+    kept: list[DataFrame] = []
+    ranked = country_ranked(country_summary(segments, settings), kept)
+    by_country = country_section(ranked, kept)
+    by_platform = platform_country_section(platform_country(segments, settings), kept)
     if comparison_type == "country":
         by_platform = by_platform.where(F.lit(False))
     else:
@@ -304,4 +306,4 @@ def report(
             ),
         ]
     )
-    return released_with(packed, segments)
+    return released_with(packed, segments, *kept)

@@ -7,9 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# ranges of a global rank, and rows that split them: each range holds about an equal share
-RANGES = 32
-_SAMPLED = 32 * RANGES
+from spendscope.plans.materialize import shared
 
 
 def ascending(*columns: str) -> list[Column]:
@@ -30,48 +28,33 @@ def numbered(df: DataFrame, order: Sequence[Column], position: str = "position")
 
 
 def global_rank(
-    df: DataFrame, order: Sequence[str], position: str = "position", ranges: int = RANGES
+    df: DataFrame, order: Sequence[str], position: str = "position", kept: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Row numbers over a frame of any size, without moving it to one task and without storing it.
+    """Row numbers over a frame of any size, without moving it to one task.
 
     ``order`` names columns: ascending with NULL first, or descending with NULL last where the
-    name (of a number) begins with "-". It should end in a unique key, so that a heavy value
-    still splits. Rows with the smallest hashes are a sample whose quantiles cut the order
-    into ranges. A row's number is its place in its range plus the rows of the ranges
-    before; one row per range is broadcast. Sample, counts and rows all use every
-    column, so the shuffle that ``df`` ends with is the same for them and runs once.
+    name begins with "-". It should end in a unique key, so that a heavy value still splits.
+    The rows are range-partitioned and persisted: one shuffle. A row's number is its place in
+    its partition plus the size of the partitions before; that offset table has one row per
+    partition, so it is broadcast. The persisted rows are appended to ``kept``, for the caller
+    to drop with its result; without it they stay until ``spark.catalog.clearCache()`` or the
+    end of the session.
     """
-    taken = {c.lower() for c in df.columns}
-    names = ["key", "range", "splitters", "offset"]
-    while taken & set(names):
-        names = [f"_{n}" for n in names]
-    key, range_, splitters, offset = names
-    digest = F.xxhash64(*df.columns)
-    keyed = df.withColumn(key, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_comparable(order))]))
-    sample = keyed.orderBy(digest, key).limit(_SAMPLED).agg(F.sort_array(F.collect_list(key)).alias(splitters))
-    each = F.greatest(F.lit(1), (F.size(splitters) / ranges).cast("int"))
-    cuts = sample.select(F.filter(splitters, lambda _, i: (i > 0) & (i % each == 0)).alias(splitters))
-    ranged = keyed.join(F.broadcast(cuts)).withColumn(
-        range_, F.size(F.filter(splitters, lambda cut: cut <= F.col(key)))
-    ).drop(splitters)
-    counts = ranged.groupBy(range_).agg(F.count("*").alias(offset), F.bit_xor(digest).alias("digest"))
-    before = F.sum(offset).over(Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.where("digest IS NOT NULL").select(range_, F.coalesce(before, F.lit(0)).alias(offset))
-    within = F.row_number().over(Window.partitionBy(range_).orderBy(key))
+    columns = [F.desc(name[1:]) if name.startswith("-") else F.asc_nulls_first(name) for name in order]
+    ranges = shared(df.orderBy(*columns).withColumn("_id", F.monotonically_increasing_id()))
+    if kept is not None:
+        kept.append(ranges)
+    part = F.shiftright("_id", 33)
+    offsets = ranges.groupBy(part.alias("_part")).count().select(
+        F.col("_part").alias("_range"),
+        F.coalesce(
+            F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_offset"),
+    )
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        ranged.withColumn(position, within)
-        .join(F.broadcast(offsets), range_)
-        .withColumn(position, F.col(position) + F.col(offset))
-        .drop(key, range_, offset)
+        ranges.join(F.broadcast(offsets), part == F.col("_range"))
+        .withColumn(position, within + F.col("_offset"))
+        .drop("_id", "_range", "_offset")
     )
-
-
-def _comparable(order: Sequence[str]) -> list[Column]:
-    """Columns whose ascending order, NULL first, is the order."""
-    out = []
-    for name in order:
-        if name.startswith("-"):
-            out += [F.col(name[1:]).isNull(), -F.col(name[1:])]
-        else:
-            out.append(F.col(name))
-    return out

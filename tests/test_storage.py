@@ -235,12 +235,11 @@ REPORTS = {
     "regional": lambda f, i: regional.report(f, AS_OF),
     "anomaly": lambda f, i: anomaly.report(f, AS_OF),
     "impression": lambda f, i: impression.report(i, AS_OF),
-    "ranked": lambda f, i: impression.ranked(impression.classified(impression.base(i, AS_OF))),
 }
 
 
 @pytest.mark.parametrize("name", REPORTS)
-def test_nothing_stays_persisted(spark, facts, shares, name):
+def test_reports_leave_nothing_persisted(spark, facts, shares, name):
     before = set(spark.sparkContext._jsc.getPersistentRDDs().keys())
     report = REPORTS[name](facts([{}]), shares([{}]))
     report.collect()
