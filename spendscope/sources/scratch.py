@@ -13,7 +13,8 @@ def folder(spark: SparkSession) -> str:
     master without that setting, a path in the machine's own temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spendscope-")
     path = f"{root}/{uuid.uuid4()}"
