@@ -320,6 +320,7 @@ def campaign(select: str, terms=("grow_c",), days=7, total=14) -> str:
     {pct('SUM(conversions)', 'SUM(clicks)')} AS cvr_{p}"""
 
     ctes = f"""
+named AS (SELECT DISTINCT campaign FROM facts WHERE {cur(total)} AND ({hit})),
 matches AS (
   SELECT DISTINCT campaign_id, campaign, platform, country FROM facts
   WHERE {cur(total)} AND ({hit}) AND spend > 0),

@@ -744,6 +744,22 @@ _facts("campaign_performance_known_ids_bucketed", lambda f: _of_known_ids(_bucke
 _facts("campaign_report_known_ids",
        lambda f: campaign.report(f, AS_OF, TERMS, ids=campaign.matched_ids(f, AS_OF, TERMS)), sql.campaign_report(TERMS))
 
+# ---------------------------------------------------------------- many search terms
+
+MANY_TERMS = [f"{word} {i}" for i in range(1, 201) for word in ("podcast", "AU LAUNCH", "campaign", "50%", "search")]
+
+
+def _dictionary(f: DataFrame) -> DataFrame:
+    return campaign.matched_names(f, AS_OF, MANY_TERMS)
+
+
+_facts("campaign_names_many_terms", _dictionary,
+       sql.campaign("SELECT * FROM named", MANY_TERMS))
+_facts("campaign_matches_many_terms", lambda f: campaign.matches(f, AS_OF, MANY_TERMS, names=_dictionary(f)),
+       sql.campaign("SELECT * FROM matches", MANY_TERMS))
+_facts("campaign_performance_many_terms", lambda f: campaign.performance(f, AS_OF, MANY_TERMS, names=_dictionary(f)),
+       sql.campaign(sql.doubles("performance", _PERF), MANY_TERMS))
+
 # ---------------------------------------------------------------- stored reports
 
 
@@ -767,5 +783,6 @@ _facts("stored_reports", _stored_reports, f"""
 _of(derived.blended_summary_decimal, sql.decimal_counts, ["weekly_base", "campaign_performance"])
 _of(derived.blended_summary_many_keys, sql.many_keys,
     ["campaign_performance", "campaign_creatives", "creative_data", "anomaly_features", "anomaly_features_rolled_up",
-     "campaign_performance_bucketed", "campaign_performance_known_ids"])
+     "campaign_performance_bucketed", "campaign_performance_known_ids", "campaign_names_many_terms",
+     "campaign_matches_many_terms", "campaign_performance_many_terms"])
 _of(derived.impression_share_report_many_keys, sql.many_keys, ["impression_base", "impression_base_approximate", "impression_ranked"])

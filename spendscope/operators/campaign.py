@@ -33,18 +33,34 @@ def matches(
     as_of: date,
     campaign_names: Sequence[str],
     comparison_period: str = "week_over_week",
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct appearances with spend in either period whose name holds a term."""
+    """Distinct appearances with spend in either period whose name holds a term. ``names``, if
+    given, are those of ``matched_names``."""
     _, total_days = periods.period_days(comparison_period)
     terms = params.names(campaign_names, "campaign_names")
-    return (
+    spending = (
         require_columns(facts, ["date", *_KEYS, "spend"])
         .where(periods.current(as_of, total_days))
-        .where(text.contains_any(F.col("campaign"), terms))
         .where(F.col("spend") > 0)
-        .select(*_KEYS)
-        .distinct()
     )
+    if names is not None:
+        return spending.select(*_KEYS).distinct().join(names, "campaign", "left_semi").select(*_KEYS)
+    return spending.where(text.contains_any(F.col("campaign"), terms)).select(*_KEYS).distinct()
+
+
+def matched_names(
+    facts: DataFrame,
+    as_of: date,
+    campaign_names: Sequence[str],
+    comparison_period: str = "week_over_week",
+) -> DataFrame:
+    """The distinct names (``campaign``) in either period that hold a term, to be passed on as
+    ``names`` where there are many terms: each name is then matched once, by a dictionary of
+    the terms, and the aggregated rows are joined with the names found."""
+    _, total_days = periods.period_days(comparison_period)
+    in_window = require_columns(facts, ["date", "campaign"]).where(periods.current(as_of, total_days))
+    return text.names_with_any(in_window, "campaign", params.names(campaign_names, "campaign_names"))
 
 
 def matched_ids(
@@ -53,6 +69,7 @@ def matched_ids(
     campaign_names: Sequence[str],
     comparison_period: str = "week_over_week",
     at_most: int = 10_000,
+    names: DataFrame | None = None,
 ) -> list[str] | None:
     """The ids of all matches, to be passed on as ``ids``; None if there are more than
     ``at_most``. Runs a job that reads names and spend only.
@@ -62,7 +79,7 @@ def matched_ids(
     bucketed table by the ids themselves.
     """
     found = (
-        matches(facts, as_of, campaign_names, comparison_period)
+        matches(facts, as_of, campaign_names, comparison_period, names)
         .where(F.col("campaign_id").isNotNull())
         .select("campaign_id").distinct().limit(at_most + 1).collect()
     )
@@ -89,6 +106,7 @@ def _matched_totals(
     campaign_names: Sequence[str],
     comparison_period: str,
     ids: Sequence[str] | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Matching appearances with both periods' totals of their campaign id."""
     require_columns(facts, ["date", *_KEYS, *_METRICS])
@@ -97,7 +115,7 @@ def _matched_totals(
     _, total_days = periods.period_days(comparison_period)
     sums = _period_sums(as_of, comparison_period)
     of_id = Window.partitionBy("campaign_id")
-    return (
+    totals = (
         facts.where(periods.current(as_of, total_days) & F.col("campaign_id").isNotNull())
         .groupBy(*_KEYS)
         .agg(
@@ -106,9 +124,11 @@ def _matched_totals(
         )
         .select(*_KEYS, "spending_rows", *[F.sum(c).over(of_id).alias(c) for c in sums])
         .where(F.col("spending_rows") > 0)
-        .where(text.contains_any(F.col("campaign"), params.names(campaign_names, "campaign_names")))
         .drop("spending_rows")
     )
+    if names is not None:
+        return totals.join(names, "campaign", "left_semi")
+    return totals.where(text.contains_any(F.col("campaign"), params.names(campaign_names, "campaign_names")))
 
 
 def _kpis(period: str):
@@ -160,13 +180,14 @@ def performance(
     comparison_period: str = "week_over_week",
     settings: Settings = SETTINGS,
     ids: Sequence[str] | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Matches with both periods, the changes between them and a CPA rating. ``ids``, if given,
-    are those of ``matched_ids``."""
+    """Matches with both periods, the changes between them and a CPA rating. ``ids`` and
+    ``names``, if given, are those of ``matched_ids`` and ``matched_names``."""
     of_id = Window.partitionBy("campaign_id")
     per_match = [F.sum(f"{m}_comparison").over(of_id).alias(f"{m}_comparison") for m in _METRICS]
     both = (
-        _matched_totals(facts, as_of, campaign_names, comparison_period, ids)
+        _matched_totals(facts, as_of, campaign_names, comparison_period, ids, names)
         .select(*_KEYS, "current_rows", *[f"{m}_current" for m in _METRICS], *per_match)
         .where(F.col("current_rows") > 0)
         .select(*_KEYS, *_kpis("current"), *_kpis("comparison"))
@@ -296,14 +317,16 @@ def report(
     settings: Settings = SETTINGS,
     items_per_row: int = sections.ITEMS_PER_ROW,
     ids: Sequence[str] | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """The packed report: one scan for the matches and their totals and, if asked for,
-    one for their creatives. Problem campaigns come in parts of ``items_per_row``. ``ids``, if
-    given, are those of ``matched_ids``."""
-    matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings, ids))
+    one for their creatives. Problem campaigns come in parts of ``items_per_row``. ``ids`` and
+    ``names``, if given, are those of ``matched_ids`` and ``matched_names``; names cost a scan of
+    their column."""
+    matched = shared(performance(facts, as_of, campaign_names, comparison_period, settings, ids, names))
     kept: list[DataFrame] = []
     current_days, _ = periods.period_days(comparison_period)
-    names = {c: c for c in ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")}
+    totals = ("total_campaigns", "total_spend", "total_conversions", "blended_cpa")
     summary = executive_summary(matched).select(
         *sections.section(
             "EXECUTIVE_SUMMARY",
@@ -312,7 +335,7 @@ def report(
                     "analysis_type": comparison_period,
                     "search_terms": params.names(campaign_names, "campaign_names"),
                     "period_days": current_days,
-                    **{name: F.col(c) for name, c in names.items()},
+                    **{c: F.col(c) for c in totals},
                     "performance_breakdown": F.struct(
                         "excellent", "good", "acceptable", "needs_attention"
                     ),

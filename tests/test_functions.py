@@ -1,7 +1,10 @@
+import random
 from datetime import date
+from functools import reduce
 
 import pytest
 from conftest import AS_OF, day, rows_of
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.functions import kpi, periods, pivots, text
@@ -132,6 +135,31 @@ def test_contains_any_is_literal_and_case_insensitive(spark):
     assert hits([" GROW_ ", "50%"]) == ["Earn 50%", "Grow_Campaign"]
 
 
+def test_dictionary_of_terms_equals_contains_any(spark):
+    rng = random.Random(7)
+    alphabet = "aAbB %_é1İΣς"
+    made = ["".join(rng.choices(alphabet, k=rng.randrange(0, 40))) for _ in range(400)]
+    names = spark.createDataFrame([(n,) for n in [*made, *made[:50], None, "", "a" * 3000]], "name string")
+    for k in (1, 3, 40, 1500):
+        terms = ["".join(rng.choices(alphabet, k=rng.randrange(1, 9))).strip() or "a" for _ in range(k)] + ["a" * 500, "x" * 70]
+        found = text.names_with_any(names, "name", terms)
+        plain = [names.where(text.contains_any(F.col("name"), terms[i:i + 200])) for i in range(0, len(terms), 200)]
+        assert rows_of(found) == rows_of(reduce(DataFrame.union, plain).distinct()), k
+    assert found.columns == ["name"]
+    assert text.names_with_any(names, "name", []).count() == 0
+    assert text.names_with_any(names, "name", ["a", " "]).count() == names.where("name IS NOT NULL").distinct().count()
+    assert text.names_with_any(names.where("false"), "name", ["a"]).count() == 0
+
+
+def test_a_name_is_compared_with_few_terms(spark):
+    """Terms of one beginning, or of one end, are told apart by their other side."""
+    values = spark.createDataFrame([(f"shop {i} sale",) for i in range(300)], "value string")
+    for terms in ([f"shop {i:04}" for i in range(1000)], [f"{i:04} sale" for i in range(1000)]):
+        assert text.term_candidates(values, terms).count() <= 2 * 300
+    terms = [f"shop {i}" for i in range(1000)]
+    assert text.names_with_any(values, "value", terms).count() == 300
+
+
 def test_creative_name_parts(spark):
     names = [(None,), ("A",), ("A // b",), ("A // b // c",), ("A // b // c // d",), (" // b",),
              (" A\t // b",), ("x" * 60,), ("A//b",)]
