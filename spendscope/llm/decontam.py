@@ -9,7 +9,10 @@ suffix, and the words are compared directly. A document of n words takes about n
 steps where it shares nothing with the benchmark.
 
 The benchmark is a stated set of queries: it is taken in blocks of bounded size, each
-broadcast in turn and searched in all documents.
+broadcast in turn and searched in all documents. Where there is more than one block, the
+texts are read once a block, and only what is found is kept in between: one row for each
+text that holds a passage, with the text's sha256, by which all rows of that text find it.
+No text is stored or shuffled for this.
 
 Defined cases: NULL texts have no words; an item or document without words has no hit;
 a row of the benchmark with a NULL id marks words but is not listed; rows with one item
@@ -22,6 +25,8 @@ or kept (``clean``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -111,13 +116,10 @@ def block_filters(benchmark: DataFrame, text: str = "text", item: str = "item_id
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
 
 
-def union(a: list[int], b: list[int]) -> list[int]:
-    """Runs covered by either of two lists of runs."""
-    if not a or not b:
-        return a or b
-    edges = sorted([(x, -1) for x in a[::2] + b[::2]] + [(x, 1) for x in a[1::2] + b[1::2]])
+def joined(edges: list[int]) -> list[int]:
+    """Runs (start, end, start, end, ...) in any order, joined where they overlap or touch."""
     out, depth = [], 0
-    for x, kind in edges:
+    for x, kind in sorted([(x, -1) for x in edges[::2]] + [(x, 1) for x in edges[1::2]]):
         if (kind < 0 and depth == 0) or (kind > 0 and depth == 1):
             out.append(x)
         depth -= kind
@@ -127,21 +129,37 @@ def union(a: list[int], b: list[int]) -> list[int]:
 def search(docs: DataFrame, carried: list[str], benchmark: DataFrame, text: str, item: str, size: int,
            block_bytes: int) -> DataFrame:
     """``row`` (a struct of the carried columns), ``n_words``, ``runs``, ``items`` of each row."""
-    frame = docs.select(F.struct(*[F.col(frames.quoted(c)) for c in carried]).alias("row"), F.col(frames.quoted(text)).cast("binary").alias("text"))
-    row = frame.schema["row"].dataType
+    body = F.col(frames.quoted(text)).cast("binary").alias("text")
+    frame = docs.select(F.struct(*[F.col(frames.quoted(c)) for c in carried]).alias("row"), body)
+    row = StructField("row", frame.schema["row"].dataType)
     parts = block_filters(benchmark, text, item, block_bytes)
-    for i, block in enumerate(parts):
-        more = i + 1 < len(parts)
-        index = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
-        found = StructType.fromDDL("n_words long, runs array<long>, items array<string>" + ", text binary" * more)
-        frame = frame.mapInArrow(_pass(index, size, i > 0, more), StructType([StructField("row", row), *found.fields]))
-        frame = frames.stored(frame) if more else frame
-    return frame
+    if len(parts) == 1:
+        found = StructType.fromDDL("n_words long, runs array<long>, items array<string>")
+        return frame.mapInArrow(_searched(_shared(parts[0]), size), StructType([row, *found.fields]))
+    found = reduce(DataFrame.union, [_found(docs.select(body), part, size) for part in parts])
+    found = found.groupBy("print").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counted = frame.mapInArrow(_counted, StructType([row, *StructType.fromDDL("n_words long, print binary").fields]))
+    return counted.join(found.mapInArrow(_joined, found.schema), "print", "left").select(
+        "row", "n_words", *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("runs", "items")])
 
 
-def _pass(shared, size: int, earlier: bool, more: bool):
+def _shared(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
+
+
+def _index(shared, size: int) -> Index:
+    return Index([(i, None if t is None else bytes(t)) for i, t in shared.value], size)
+
+
+def _names(items: set) -> list[str]:
+    return sorted({str(x) for x in items if x is not None})
+
+
+def _searched(shared, size: int):
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index([(i, None if t is None else bytes(t)) for i, t in shared.value], size)
+        index = _index(shared, size)
         for batch in incoming:
             n_words, runs, items = [], [], []
             for text in batch.column("text").to_pylist():
@@ -149,20 +167,49 @@ def _pass(shared, size: int, earlier: bool, more: bool):
                 own = index(found)
                 n_words.append(len(found))
                 runs.append(own[0])
-                items.append({str(x) for x in own[1] if x is not None})
-            if earlier:
-                runs = [union(a, b) for a, b in zip(runs, batch.column("runs").to_pylist())]
-                items = [a.union(b) for a, b in zip(items, batch.column("items").to_pylist())]
-            columns = {
+                items.append(_names(own[1]))
+            yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "n_words": pa.array(n_words, pa.int64()),
-                "runs": pa.array(runs, pa.list_(pa.int64())),
-                "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_pydict(columns | ({"text": batch.column("text")} if more else {}))
+                "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))})
 
     return run
 
 
+def _found(texts: DataFrame, block: DataFrame, size: int) -> DataFrame:
+    """``print``, ``runs`` and ``items`` of the distinct texts that hold passages of a block; stored."""
+    made = "print binary, runs array<long>, items array<string>"
+    shared, schema = _shared(block), frames.arrow(made)
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared, size)
+        for batch in incoming:
+            out: dict[bytes, tuple[list, list]] = {}
+            for text in batch.column("text").to_pylist():
+                runs, items = index(words(text))
+                if runs:
+                    out[sha256(text).digest()] = runs, _names(items)
+            runs, items = zip(*out.values()) if out else ((), ())
+            yield from frames.batches([{"print": list(out), "runs": list(runs), "items": list(items)}], schema)
+
+    out = frames.stored(texts.mapInArrow(run, made).dropDuplicates(["print"]))
+    shared.unpersist()
+    return out
+
+
+def _counted(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in incoming:
+        texts = batch.column("text").to_pylist()
+        yield pa.RecordBatch.from_pydict({
+            "row": batch.column("row"), "n_words": pa.array([len(words(t)) for t in texts], pa.int64()),
+            "print": pa.array([None if t is None else sha256(t).digest() for t in texts], pa.binary())})
+
+
+def _joined(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in incoming:
+        runs = pa.array([joined(r) for r in batch.column("runs").to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict({"print": batch.column("print"), "runs": runs, "items": batch.column("items")})
+
+
 def _measured(found: DataFrame, parts: int) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))
     none = F.lit(0).cast("long")

@@ -20,11 +20,11 @@ anchors instead of all suffixes are exchanged, in five steps:
    leaf start earlier too.
 5. ``_removed``: the covered ranges of each text are joined and cut out.
 
-An anchor hash with more than ``hot`` contexts to refine is not sorted in one task: its
-strings are dealt out one by one by a hash of theirs (equal ones of a batch once), and equal
-hashes of one anchor and place are taken for equal strings. There are at most
-``contexts / hot`` such anchors; ``hot`` grows with the input so that the list that is
-broadcast stays below ``_MOST_HOT`` entries.
+An anchor hash with more than ``hot`` contexts to refine, at any size of the input, is not
+sorted in one task: its strings are dealt out one by one by a hash of theirs (equal ones of a
+batch once), and equal 128-bit hashes of one anchor and place are taken for equal strings. The
+tasks know such anchors by a bitmap of fixed size over the hashes (``MARK_BITS``); an anchor
+that only shares its bit with one takes the same way, with the same result.
 
 Defined cases: a NULL text is empty; texts shorter than ``WIDTH`` lose nothing; NULL keys
 come before all others, and rows that share a key are taken as texts one after the other, in
@@ -49,7 +49,8 @@ WIDTH = 100
 GRAM = 32
 LEFT = WIDTH - GRAM
 CONTEXT = LEFT + WIDTH
-_MOST_HOT = 100_000
+MARK_BITS = 27
+_PIECE = 17
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _COVERED, _REFINE, _HOT = 0, 1, 2
 
@@ -248,8 +249,8 @@ def ranges(docs: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, doc_
 
 
 def _classes(doc_buckets: int, hot: int):
-    """Anchors of a bucket from all batches: what is covered, what to refine, and how many
-    contexts each anchor hash refines (kind _HOT, if more than ``hot``)."""
+    """Anchors of a bucket from all batches: what is covered, what to refine, and the anchor
+    hashes with more than ``hot`` contexts to refine (kind _HOT)."""
 
     def run(table: pa.Table) -> pa.Table:
         payloads = table.column("payload").to_pylist()
@@ -268,7 +269,7 @@ def _classes(doc_buckets: int, hot: int):
         out += flagged(docs[several], at[several], _REFINE, doc_buckets)
         many = np.flatnonzero(refined > hot)
         if len(many):
-            out.append((0, _HOT, pack(hash=hashes[new_hash][many], count=refined[many].astype(np.int64))))
+            out.append((0, _HOT, pack(hash=hashes[new_hash][many])))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
@@ -276,7 +277,44 @@ def _classes(doc_buckets: int, hot: int):
 
 # -------------------------------------------------- step 3: contexts
 
-def _contexts(buckets: int, shared_hot):
+def _marked(bits: int):
+    """Packed rows of hot anchors to the places of their bits."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            payloads = batch.column("payload").to_pylist()
+            if payloads:
+                hashes = unpack(payloads).column("hash").to_numpy()
+                at = np.unique(hashes >> np.uint64(64 - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(at >> _PIECE), "at": pa.array(at & ((1 << _PIECE) - 1))})
+
+    return run
+
+
+def _piece(key: tuple, table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << _PIECE, dtype=np.uint8)
+    bits[table.column("at").to_numpy()] = 1
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": [np.packbits(bits).tobytes()]})
+
+
+class Marks:
+    """The bitmap of hot anchors, from its pieces that hold any."""
+
+    def __init__(self, pieces: list[tuple[int, bytes]], bits: int):
+        self.bits, self.pieces = bits, pieces
+        if pieces:
+            self.map = np.zeros(1 << max(bits - 3, _PIECE - 3), dtype=np.uint8)
+            for piece, own in pieces:
+                self.map[piece << (_PIECE - 3):(piece + 1) << (_PIECE - 3)] = np.frombuffer(own, dtype=np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.pieces:
+            return np.zeros(len(hashes), dtype=bool)
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _contexts(buckets: int, shared_hot, bits: int):
     """Texts of a bucket, and the places to refine in them, to contexts by anchor hash
     (kind 0), or for hot anchors to strings by their hash (kind 1)."""
 
@@ -287,7 +325,7 @@ def _contexts(buckets: int, shared_hot):
             docs, places = found.column("doc").to_numpy(), found.column("start").to_numpy()
             order = np.lexsort((places, docs))
             docs, places = docs[order], places[order]
-            hot = np.sort(np.array(shared_hot.value, dtype=np.uint64))
+            hot = Marks(shared_hot.value, bits)
             parts = []
             wanted = {int(d): (int(a), int(b)) for d, a, b in zip(*spans_of(docs))}
             keys, bodies = texts.column("doc").to_pylist(), texts.column("text").to_pylist()
@@ -301,7 +339,7 @@ def _contexts(buckets: int, shared_hot):
                 parts.append((rows, left, right, doc[index], at - side.starts[index]))
             rows, left, right, docs, at = (np.concatenate(x) for x in zip(*parts))
             hashes = grams(expanded(rows)[:, LEFT:LEFT + GRAM - 7])[:, 0]
-            is_hot = np.isin(hashes, hot)
+            is_hot = hot(hashes)
             cold = np.flatnonzero(~is_hot)
             if len(cold):
                 body = np.empty(len(cold), dtype=object)
@@ -312,9 +350,10 @@ def _contexts(buckets: int, shared_hot):
             for part in np.array_split(warm, -(-len(warm) // 20_000)) if len(warm) else []:
                 spread = expanded(rows[part])
                 rep, s = owned(spread, left[part], right[part])
-                print_ = string_hash(spread, rep, s) ^ (hashes[part][rep] * _MIX[0]) ^ (s.astype(np.uint64) * _MIX[1])
-                order = np.lexsort((at[part][rep], docs[part][rep], print_))
-                first = starts_of(print_[order])
+                place = (hashes[part][rep] * _MIX[0]) ^ (s.astype(np.uint64) * _MIX[1])
+                print_, check = (string_hash(spread, rep, s, turn) ^ place for turn in (0, 2))
+                order = np.lexsort((at[part][rep], docs[part][rep], check, print_))
+                first = starts_of(print_[order], check[order])
                 # later equal strings of this bucket are kept out of the exchange: each is
                 # covered, as the first of them starts earlier
                 later = order[~first]
@@ -323,7 +362,7 @@ def _contexts(buckets: int, shared_hot):
                 keep = order[first]
                 keep = keep[np.lexsort((at[part][rep[keep]] + s[keep], docs[part][rep[keep]]))]
                 out += by_bucket((print_[keep] % np.uint64(buckets)).astype(np.int64), 1, {
-                    "print": print_[keep], "doc": docs[part][rep[keep]], "at": at[part][rep[keep]] - LEFT + s[keep]})
+                    "print": print_[keep], "check": check[keep], "doc": docs[part][rep[keep]], "at": at[part][rep[keep]] - LEFT + s[keep]})
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
@@ -358,10 +397,11 @@ def owned(spread: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return rep, np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count) + low[rep]
 
 
-def string_hash(spread: np.ndarray, rep: np.ndarray, s: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rep), dtype=np.uint64)
+def string_hash(spread: np.ndarray, rep: np.ndarray, s: np.ndarray, turn: int) -> np.ndarray:
+    """One of several hashes of the strings, by ``turn``."""
+    out = np.full(len(rep), turn, dtype=np.uint64)
     for i, offset in enumerate([*range(0, WIDTH - 8, 8), WIDTH - 8]):
-        out = mixed(out, spread[rep, s + offset], i)
+        out = mixed(out, spread[rep, s + offset], i + turn)
     return out
 
 
@@ -442,9 +482,9 @@ def _sorted_windows(doc_buckets: int, at_once: int = 8_000):
         hot = [p for k, p in zip(kinds, payloads) if k == 1]
         if hot:
             found = unpack(hot)
-            prints, docs, at = (found.column(c).to_numpy() for c in ("print", "doc", "at"))
-            order = np.lexsort((at, docs, prints))
-            later = order[~starts_of(prints[order])]
+            prints, checks, docs, at = (found.column(c).to_numpy() for c in ("print", "check", "doc", "at"))
+            order = np.lexsort((at, docs, checks, prints))
+            later = order[~starts_of(prints[order], checks[order])]
             out += ranges(docs[later], at[later], at[later] + WIDTH, _COVERED, doc_buckets)
         for p in (p for k, p in zip(kinds, payloads) if k == 2):
             found = unpack([p])
@@ -501,7 +541,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame |
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = 6 << 20,
-            hot: int = 16_384) -> DataFrame:
+            hot: int = 16_384, mark_bits: int = MARK_BITS) -> DataFrame:
     """``key``, ``n_bytes``, ``spans`` (the removed runs of bytes) and ``kept`` (what is left,
     as bytes) of every row."""
     keyed, keys = _keyed(docs, text, key)
@@ -510,13 +550,13 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_byt
     sc = docs.sparkSession.sparkContext
     anchors = keyed.mapInArrow(_anchors(buckets, buckets), PACKED)
     decided = frames.stored(anchors.groupBy("bucket").applyInArrow(_passed(_classes(buckets, hot)), PACKED))
-    limit = max(hot, (total or 0) // 32 // _MOST_HOT)
-    counted = [unpack([bytes(r["payload"])]) for r in decided.where(F.col("kind") == _HOT).select("payload").toLocalIterator()]
-    hot_hashes = [h for t in counted for h, n in zip(t.column("hash").to_pylist(), t.column("count").to_pylist()) if n > limit]
+    marks = decided.where(F.col("kind") == _HOT).select("payload").mapInArrow(_marked(mark_bits), "piece long, at long")
+    pieces = [(r["piece"], bytes(r["bits"])) for r in marks.distinct().groupBy("piece").applyInArrow(
+        _piece, "piece long, bits binary").collect()]
     texts = keyed.withColumn("bucket", F.pmod("doc", F.lit(buckets)))
     refine = decided.where(F.col("kind") == _REFINE)
     contexts = texts.groupBy("bucket").cogroup(refine.groupBy("bucket")).applyInArrow(
-        _contexts(buckets, sc.broadcast(hot_hashes)), PACKED)
+        _contexts(buckets, sc.broadcast(pieces), mark_bits), PACKED)
     windows = contexts.groupBy("bucket").applyInArrow(_sorted_windows(buckets), PACKED)
     covered = decided.where(F.col("kind") == _COVERED).unionByName(windows)
     out = texts.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(

@@ -158,6 +158,27 @@ def test_decontamination_as_brute_force(spark, docs, block_bytes):
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(e[0] for e in expected if not e[4])
 
 
+def test_blocks_of_the_benchmark_store_no_text(spark, docs, monkeypatch):
+    """What is kept of a block are rows of texts with hits; a text that many rows hold gives one."""
+    kept = []
+    monkeypatch.setattr(decontam, "_found", lambda *given, real=decontam._found: kept.append(real(*given)) or kept[-1])
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"own {i} " + (items[i % 8][1] if i % 5 == 0 else "rest " * 30)) for i in range(200)]
+    rows += [(1000 + i, items[3][1] + " and " + items[5][1]) for i in range(150)] + [(2000, None)]
+    found = {r["doc_id"]: (r["n_words"], r["runs"], r["items"])
+             for r in decontam.hits(docs(rows), benchmark, block_bytes=400).collect()}
+    one = {r["doc_id"]: (r["n_words"], r["runs"], r["items"]) for r in decontam.hits(docs(rows), benchmark).collect()}
+    assert found == one and found[1000] == (41, [0, 20, 21, 41], ["3", "5"])
+    assert len(kept) > 1 and all(k.columns == ["print", "runs", "items"] for k in kept)
+    assert 41 <= sum(k.count() for k in kept) <= 42
+
+
+def test_joined_runs():
+    assert decontam.joined([5, 9, 0, 3, 8, 12, 3, 4]) == [0, 4, 5, 12]
+    assert decontam.joined([]) == []
+
+
 def test_decontamination_with_empty_tables(spark, docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     (row,) = decontam.hits(docs([(1, "a b")]), nothing).collect()

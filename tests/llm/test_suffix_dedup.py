@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from spendscope.llm import suffix_dedup
@@ -60,7 +62,8 @@ def corpus(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 2000}, {"bucket_bytes": 2000, "hot": 1}, {"bucket_bytes": 9000, "hot": 4}])
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 2000}, {"bucket_bytes": 2000, "hot": 1}, {"bucket_bytes": 9000, "hot": 4},
+                                     {"bucket_bytes": 9000, "hot": 4, "mark_bits": 18}, {"bucket_bytes": 9000, "hot": 30, "mark_bits": 3}])
 def test_as_brute_force(spark, options):
     texts = corpus(len(str(options)))
     ids = list(range(-5, len(texts) - 5))
@@ -76,6 +79,20 @@ def test_one_common_line(spark):
         same(spark, list(enumerate(texts)), hot=hot, bucket_bytes=5000)
 
 
+def test_marks_are_the_bits_of_hot_anchors():
+    rng = np.random.default_rng(4)
+    hot, other = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (40, 4000))
+    for bits in (3, 20, 27):
+        batch = pa.RecordBatch.from_pydict({"payload": [suffix_dedup.pack(hash=hot[:25]), suffix_dedup.pack(hash=hot[25:])]})
+        table = pa.Table.from_batches(suffix_dedup._marked(bits)([batch]))
+        keys = sorted(set(table.column("piece").to_pylist()))
+        pieces = [suffix_dedup._piece((pa.scalar(k),), table.filter(pa.compute.equal(table.column("piece"), k))) for k in keys]
+        marks = suffix_dedup.Marks([(k, p.column("bits")[0].as_py()) for k, p in zip(keys, pieces)], bits)
+        taken = {int(h) >> (64 - bits) for h in hot}
+        assert marks(hot).all() and marks(other).tolist() == [int(h) >> (64 - bits) in taken for h in other]
+    assert not suffix_dedup.Marks([], 27)(other).any()
+
+
 def test_keys_repeated_or_null(spark):
     text = corpus(5)[-3]
     rows = [(1, text), (1, text), (None, text[200:900]), (None, text[200:900]), (2, text[:500]), (0, "b" * 150)]
