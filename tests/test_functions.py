@@ -133,6 +133,7 @@ def test_contains_any_is_literal_and_case_insensitive(spark):
     assert hits(["xgrow"]) == []
     assert hits([]) == []
     assert hits([" GROW_ ", "50%"]) == ["Earn 50%", "Grow_Campaign"]
+    assert hits([*[f"none {i}" for i in range(1000)], "50x"]) == ["50x"]
 
 
 def test_dictionary_of_terms_equals_contains_any(spark):
